@@ -5,6 +5,7 @@ from __future__ import annotations
 from siftwell.llm.decontaminate import op6_decontaminate
 from siftwell.llm.quality import op10_quality
 from siftwell.llm.simhash import op4_simhash
+from siftwell.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op6_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op4_simhash, op6_decontaminate, op9_toxicity, op10_quality)}
 ORACLE: dict[str, str] = {}
