@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from siftwell.llm.decontaminate import op6_decontaminate
+from siftwell.llm.mixture import op7_mixture
 from siftwell.llm.quality import op10_quality
+from siftwell.llm.secrets import op3_secrets
 from siftwell.llm.simhash import op4_simhash
 from siftwell.llm.toxicity import op9_toxicity
+from siftwell.llm.urls import op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op6_decontaminate, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_simhash, op5_url_filter, op6_decontaminate, op7_mixture, op9_toxicity, op10_quality)}
 ORACLE: dict[str, str] = {}
