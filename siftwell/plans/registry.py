@@ -1,6 +1,599 @@
-"""All queries of the library itself: name → callable, and name → SQL."""
+"""All queries of the library itself: name → callable, and name → SQL. Each reads whole tables.
+
+The test tables hold no addresses, votes or corrupt records of users, so the queries derive them from ids and
+other columns by rules that the SQL repeats; such columns make no claim beyond exercising an operator.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+import hashlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwell.functions import fingerprint as fp
+from siftwell.functions import text as tx
+from siftwell.operators import feedback, limits, metrics, scoring, training
+from siftwell.operators.config import Config
+from siftwell.plans.sql import ORACLE as ORACLE
+from siftwell.plans.sql import PARAMS
+from siftwell.sources import readers
+from siftwell.sources.sinks import scratch, write_json
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SECRET = "a-secret-of-at-least-thirty-two-bytes"
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def content(spark: SparkSession, d: str) -> DataFrame:
+    """(cid, text) of documents, and of pages as address and title, which hold the links."""
+    docs = table(spark, d, "documents").select((F.col("doc_id") * 2).alias("cid"), "text")
+    pages = table(spark, d, "pages").select((F.col("page_id") * 2 + 1).alias("cid"), F.concat_ws(" ", "url", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("text"))
+    return docs.unionByName(pages)
+
+
+def people(df: DataFrame) -> DataFrame:
+    """Adds an email and an ip made from cid."""
+    k, c = F.col("cid") % 6, F.col("cid").cast("string")
+    email = (
+        F.when(k == 1, F.concat(F.lit("u"), c, F.lit("@Mailinator.com"))).when(k == 2, F.concat(F.lit("u@x"), c, F.lit("@inbox.mailinator.com"))).when(k == 3, F.concat(F.lit("u"), c, F.lit("@spam.example")))
+        .when(k == 4, F.concat(F.lit("u"), c, F.lit("@mailinator.com.example.org"))).when(k == 5, F.concat(F.lit("@nobody"), c))
+    )
+    seven = F.col("cid") % 7
+    ip = F.when(seven == 0, F.concat(F.lit("2001:db8:1::"), F.col("cid") % 100)).otherwise(F.concat(F.lit("203.0."), seven, F.lit("."), F.col("cid") % 200))
+    return df.withColumns({"email": email, "ip": ip})
+
+
+def known_prints(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("doc_id % 97 = 5")
+    return docs.select(fp.simhash_md5("text").alias("fp"), (F.lit(0.3) + F.col("doc_id") % 5 * F.lit(0.15)).alias("score"))
+
+
+def stores(spark: SparkSession, d: str) -> scoring.Stores:
+    return scoring.Stores(
+        disposable=spark.createDataFrame([("mailinator.com",), ("trash.example",)], "domain string"),
+        ips=spark.createDataFrame([("203.0.1", 0.9), ("203.0.2", 0.4), ("203.0.3", 0.5), ("203.0.4", 0.75)], "key string, score double"),
+        domains=spark.createDataFrame([("spam.example", 0.8), ("mailinator.com", 0.6), ("example.com", 0.2)], "domain string, score double"),
+        fingerprints=known_prints(spark, d),
+    )
+
+
+def r6(*columns: str) -> list:
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+# Text features and fingerprints
+
+
+@query
+def feat_tokens(spark, d):
+    return content(spark, d).select("cid", F.array_join(tx.tokens(F.col("text")), "|").alias("tokens"))
+
+
+@query
+def features(spark, d):
+    return tx.with_features(content(spark, d)).select("cid", "word_count", "link_count", *r6("link_ratio", "uppercase_ratio", "lexical_diversity", "avg_word_length"))
+
+
+@query
+def char_entropy(spark, d):
+    return content(spark, d).select("cid", F.round(tx.char_entropy("text"), 6).alias("char_entropy"))
+
+
+@query
+def email_domain(spark, d):
+    return people(content(spark, d)).select("cid", tx.email_domain(F.col("email")).alias("domain"))
+
+
+@query
+def model_features(spark, d):
+    df = tx.with_features(content(spark, d)).withColumn("x", tx.model_inputs())
+    return df.select("cid", *(F.round(F.col("x")[k], 6).alias(f"x{k}") for k in range(7)))
+
+
+@query
+def rule_offset(spark, d):
+    return tx.with_features(content(spark, d)).select("cid", F.round(scoring.rule_offset(), 6).alias("rule_offset"))
+
+
+@query
+def rules(spark, d):
+    return tx.with_features(content(spark, d)).select("cid", *(when.alias(code) for code, (when, _) in scoring.rules().items()))
+
+
+@query
+def text_group(spark, d):
+    return content(spark, d).select("cid", tx.text_group(F.col("text")).alias("text_group"))
+
+
+@query
+def split_bucket(spark, d):
+    return content(spark, d).groupBy(tx.split_of(tx.text_group(F.col("text"))).alias("split")).agg(F.count("*").alias("n"))
+
+
+@query
+def baseline_classifier(spark, d):
+    return tx.with_features(content(spark, d)).select("cid", F.round(scoring.baseline_spam(), 6).alias("spam_logit"), F.round(scoring.baseline_slop(), 6).alias("slop_logit"))
+
+
+@query
+def simhash_md5(spark, d):
+    return content(spark, d).select("cid", fp.simhash_md5("text").alias("fp"))
+
+
+@query
+def simhash_sip(spark, d):
+    return content(spark, d).select("cid", fp.simhash_sip("text").alias("fp"))
+
+
+@query
+def near_dup_pairs(spark, d):
+    own = content(spark, d).select(fp.simhash_md5("text").alias("l")).distinct()
+    return fp.near_pairs(own, own.withColumnRenamed("l", "r"), bits=60).where("l < r").withColumn("distance", F.col("distance").cast("long"))
+
+
+@query
+def ip_bucket_v4(spark, d):
+    return people(content(spark, d)).select("cid", fp.ipv4_key(F.col("ip")).alias("ip_key"))
+
+
+@query
+def ip_bucket_v6(spark, d):
+    return people(content(spark, d)).select("cid", fp.ip_bucket("ip").alias("bucket"))
+
+
+@query
+def network_fp(spark, d):
+    return content(spark, d).select("cid", fp.network_fp_sha(fp.simhash_md5("text"), SECRET).alias("network_fp"))
+
+
+@query
+def tenant_id(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), fp.tenant_id(F.col("c_name")).alias("tenant_id"))
+
+
+# Reputation
+
+
+def keyed(spark, d):
+    return people(content(spark, d)).select("cid", tx.email_domain(F.col("email")).alias("domain"), fp.ipv4_key(F.col("ip")).alias("key"))
+
+
+@query
+def rep_ip(spark, d):
+    joined = keyed(spark, d).join(stores(spark, d).ips, "key", "left")
+    return joined.select("cid", F.col("score").alias("ip_score"), F.coalesce(F.col("score") > 0.5, F.lit(False)).alias("bad"))
+
+
+@query
+def rep_disposable(spark, d):
+    return scoring.disposable(keyed(spark, d), stores(spark, d).disposable)
+
+
+@query
+def rep_disposable_exact(spark, d):
+    return scoring.disposable(keyed(spark, d), stores(spark, d).disposable, suffixes=False)
+
+
+@query
+def rep_domain(spark, d):
+    return keyed(spark, d).join(stores(spark, d).domains, "domain").select("cid", F.col("score").alias("domain_score"))
+
+
+def prints(spark, d):
+    return content(spark, d).select(fp.simhash_md5("text").alias("fp"))
+
+
+@query
+def rep_fp_local(spark, d):
+    return scoring.fingerprint_scores(prints(spark, d), known_prints(spark, d)).select("fp", *r6("fp_score"))
+
+
+@query
+def rep_fp_memory(spark, d):
+    return scoring.fingerprint_scores(prints(spark, d), known_prints(spark, d), exact_first=False).select("fp", *r6("fp_score"))
+
+
+@query
+def rep_fp_hosted(spark, d):
+    local = scoring.fingerprint_scores(prints(spark, d), known_prints(spark, d))
+    net = prints(spark, d).distinct().where("abs(fp) % 3 = 0").select("fp", (F.abs("fp") % 10 / 10).alias("n"))
+    return local.join(net, "fp", "full").select("fp", F.round(F.greatest("fp_score", "n"), 6).alias("fp_score"))
+
+
+# Assessment
+
+
+def assessed(spark, d):
+    return scoring.assess(people(content(spark, d)), stores(spark, d), Config(slop_reason_above=0.25))
+
+
+@query
+def assess(spark, d):
+    return assessed(spark, d).select("cid", *r6("spam", "slop"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def reason_order(spark, d):
+    return assessed(spark, d).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query
+def reason_counts(spark, d):
+    return assessed(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def response_invariants(spark, d):
+    ok = F.bool_and(metrics.in_unit(F.col("spam")) & metrics.in_unit(F.col("slop")))
+    total = content(spark, d).agg(F.count("*").alias("c"))
+    return assessed(spark, d).agg(F.count("*").alias("rows_"), ok.alias("in_unit")).crossJoin(total).select("rows_", (F.col("rows_") == F.col("c")).alias("same_length"), "in_unit")  # one row each
+
+
+@query
+def residual_score(spark, d):
+    return tx.with_features(content(spark, d)).select("cid", F.round(scoring.residual(PARAMS), 6).alias("residual"))
+
+
+@query
+def assess_trained(spark, d):
+    return scoring.assess(content(spark, d), params=PARAMS).select("cid", *r6("spam", "slop"))
+
+
+# Metrics
+
+
+def documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def labelled(spark, d):
+    """Assessed documents with labels; scores rounded so that ties are the same in every engine."""
+    labels = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("spam_label"), (F.col("quality") == 0).alias("slop_label"))
+    return scoring.assess(documents(spark, d).join(labels, "doc_id")).select("doc_id", F.round("spam", 9).alias("spam"), F.round("slop", 9).alias("slop"), "spam_label", "slop_label")
+
+
+def spam_scores(spark, d):
+    return labelled(spark, d).select(F.col("spam").alias("score"), F.col("spam_label").alias("label"))
+
+
+@query
+def confusion(spark, d):
+    return metrics.confusion(spam_scores(spark, d), 0.1)
+
+
+@query
+def prf(spark, d):
+    return metrics.with_prf(metrics.confusion(spam_scores(spark, d), 0.1)).select(*r6("precision", "recall", "f1"))
+
+
+@query
+def threshold_sweep(spark, d):
+    return metrics.sweep(spam_scores(spark, d), (0.02, 0.05, 0.1, 0.5)).select("threshold", "tp", "fp", "tn", "fn", *r6("precision", "recall", "f1"))
+
+
+@query
+def brier(spark, d):
+    return metrics.brier(spam_scores(spark, d)).select(*r6("brier"))
+
+
+@query
+def ece(spark, d):
+    return metrics.ece(spam_scores(spark, d)).select(*r6("ece"))
+
+
+@query
+def ece_range_bins(spark, d):
+    return metrics.ece(spam_scores(spark, d), ranges=True).select(*r6("ece"))
+
+
+@query
+def average_precision(spark, d):
+    return metrics.average_precision(spam_scores(spark, d)).select(*r6("average_precision"))
+
+
+def report() -> list:
+    return ["signal", "labelled", "positive", "negative", *r6("brier", "ece", "average_precision"), "tp", "fp", "tn", "fn"]
+
+
+@query
+def signal_metrics(spark, d):
+    return metrics.signal_metrics(spam_scores(spark, d)).withColumn("signal", F.lit("spam")).select(*report())
+
+
+@query
+def eval_report(spark, d):
+    return metrics.evaluate(labelled(spark, d)).select(*report())
+
+
+@query
+def invalid_scores(spark, d):
+    return metrics.invalid_scores(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("score"))).select("id")
+
+
+# Training
+
+
+def exported(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("label"))
+    return training.export_features(documents(spark, d).join(labels, "doc_id").withColumn("id", F.col("doc_id").cast("string")), "documents")
+
+
+def train_rows(spark, d):
+    return exported(spark, d).where("split = 'train'")
+
+
+@query
+def export_features(spark, d):
+    return exported(spark, d).select("id", "text_group", "label", *r6("rule_offset", "baseline_logit"), F.round(F.col("features")[0], 6).alias("x0"), F.round(F.col("features")[5], 6).alias("x5"), "split")
+
+
+@query
+def train_rows_valid(spark, d):
+    rows = exported(spark, d)
+    faults = training.invalid_rows(rows).agg(F.count("*").alias("faults"))
+    return rows.agg(F.count("*").alias("rows_")).crossJoin(faults)  # one row each
+
+
+@query
+def label_conflicts(spark, d):
+    rows = documents(spark, d).select(tx.text_group(F.col("text")).alias("text_group"), (F.col("doc_id") % 2 == 1).alias("label"))
+    return training.label_conflicts(rows)
+
+
+@query
+def split_class_check(spark, d):
+    return exported(spark, d).groupBy("split").agg((F.count_distinct("label") == 2).alias("ok"))
+
+
+@query
+def partition_counts(spark, d):
+    rows = exported(spark, d).withColumn("source", F.when(F.col("id").cast("long") % 2 == 0, "even").otherwise("odd"))
+    return rows.rollup("split", "source").agg(F.count("*").alias("records"), F.count_if("label").alias("positive"), F.count_if(~F.col("label")).alias("negative")).where("split IS NOT NULL")
+
+
+@query
+def standardize(spark, d):
+    means, scales = training.moments(train_rows(spark, d))
+    return spark.createDataFrame(list(zip(range(7), means, scales)), "input long, mean double, scale double").select("input", *r6("mean", "scale"))
+
+
+@query
+def logistic_gradient(spark, d):
+    import numpy as np
+
+    train = train_rows(spark, d)
+    n, _, g, _ = training.sums(train, training.standardized(*training.moments(train)), np.zeros(8), hessian=False)
+    return spark.createDataFrame([(k, float(x / n)) for k, x in enumerate(g)], "param long, gradient double").select("param", *r6("gradient"))
+
+
+@query
+def fit_residual(spark, d):
+    params = training.fit(train_rows(spark, d), 0.1)
+    training.check_params(params)
+    return spark.createDataFrame([(k, w) for k, w in enumerate([*params["weights"], params["intercept"]])], "param long, value double")
+
+
+@query
+def classifier_ab(spark, d):
+    rows = training.logits(exported(spark, d), PARAMS)
+    long = rows.select(F.expr("stack(2, 'baseline', baseline_logit, 'trained', logit) AS (classifier, z)"), "label")
+    return metrics.brier(long.select("classifier", scoring.sigmoid(F.col("z")).alias("score"), "label"), ("classifier",)).select("classifier", *r6("brier"))
+
+
+@query
+def parity_check(spark, d):
+    one = training.logits(exported(spark, d), PARAMS).select("id", "logit")
+    two = tx.with_features(documents(spark, d)).select(F.col("doc_id").cast("string").alias("id"), (scoring.rule_offset() + scoring.residual(PARAMS)).alias("z"))
+    near = F.bool_and(F.abs(F.col("logit") - F.col("z")) <= 1e-5 + 1e-5 * F.abs("z"))
+    return one.join(two, "id").agg(F.count("*").alias("rows_"), near.alias("within"))
+
+
+@query
+def select_candidate(spark, d):
+    return training.select_candidate(spark.createDataFrame([(0.01, 0.20, 0.80), (0.1, 0.19, 0.70), (1.0, 0.19, 0.70)], "l2 double, validation_brier double, validation_average_precision double"))
+
+
+# Feedback, credentials and limits
+
+
+def votes(spark, d):
+    verdict = F.when(F.col("event_type").isin("error", "click"), "spam").otherwise("ham")
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("t"), F.col("user_id") % 7).alias("tenant"), (F.col("user_id") % 50).alias("fp"), verdict.alias("verdict"))
+
+
+@query
+def votes_latest(spark, d):
+    return feedback.latest(votes(spark, d))
+
+
+@query
+def vote_aggregates(spark, d):
+    return feedback.aggregates(votes(spark, d))
+
+
+@query
+def network_score(spark, d):
+    return feedback.network_scores(votes(spark, d)).select("fp", *r6("score"))
+
+
+@query
+def vote_receipts(spark, d):
+    return feedback.receipts(votes(spark, d))
+
+
+@query
+def feedback_ingest(spark, d):
+    return documents(spark, d).where(F.octet_length("text") <= 1 << 30).groupBy(fp.simhash_md5("text").alias("fp")).agg(F.count("*").alias("votes"))
+
+
+@query
+def rate_limit(spark, d):
+    asked = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("tenant"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return limits.rate_limited(asked, 2, 86400.0).select("id", "tenant", "accepted", "retry_after")
+
+
+@query
+def credential_check(spark, d):
+    n = F.col("s_suppkey")
+    key = F.when(n % 11 == 0, "short").otherwise(F.sha2((F.floor(n / 2) * 2 + (n % 3 == 0).cast("int")).cast("string"), 256))
+    tenant = F.when(n % 7 == 0, "bad tenant").otherwise(F.concat(F.lit("tenant-"), n % 40))
+    return limits.credential_errors(table(spark, d, "supplier").select(n.alias("row"), tenant.alias("tenant"), key.alias("api_key")))
+
+
+def headers(spark, d):
+    k = F.col("c_custkey")
+    value = F.concat(F.when(k % 5 == 0, "Bearer key").when(k % 5 == 1, " bEARER   key").when(k % 5 == 2, "Basic key").otherwise("Bearer a key"), k)
+    return table(spark, d, "customer").select(k.alias("id"), F.when(k % 5 == 4, F.array(value, value)).otherwise(F.array(value)).alias("headers"))
+
+
+@query
+def bearer_parse(spark, d):
+    return headers(spark, d).select("id", limits.bearer_token(F.col("headers")).alias("token"))
+
+
+@query
+def auth_lookup(spark, d):
+    known = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("t"), "c_custkey").alias("tenant"), F.concat(F.lit("key"), "c_custkey").alias("api_key"))
+    return limits.authenticated(headers(spark, d), known).select("id", "tenant_id")
+
+
+@query
+def parse_key_list(spark, d):
+    value = F.concat(F.lit(" a"), "s_suppkey", F.lit(" = k="), "s_suppkey", F.lit(" ,, b=x"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.inline(limits.parse_key_list(value)))
+
+
+@query
+def batch_cap(spark, d):
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("batch")).agg(F.count("*").alias("items")).withColumn("ok", F.col("items") <= 60)
+
+
+@query
+def oversize_text(spark, d):
+    return table(spark, d, "documents").where(F.octet_length("text") > 8192).select("doc_id")
+
+
+@query
+def mcp_limits(spark, d):
+    null = F.lit(None).cast("string")
+    return table(spark, d, "pages").select("page_id", limits.tool_input_ok(F.col("html"), F.col("url"), null, null).alias("ok"))
+
+
+@query
+def request_decode(spark, d):
+    pages = table(spark, d, "pages")
+    ip = F.when(F.col("page_id") % 5 == 0, "not an ip").when(F.col("page_id") % 2 == 0, "::1").otherwise("203.0.113.9")
+    value = F.to_json(F.struct(F.col("url").alias("text"), ip.alias("author_ip"), F.when(F.col("page_id") % 3 == 0, "review").alias("context"), F.lit(1).alias("unknown")))
+    return readers.decoded_requests(pages.select(F.col("page_id").alias("id"), value.alias("value"))).select("id", "text", "context", "ok")
+
+
+# Sources and sinks
+
+
+def lines_of(df: DataFrame, name: str) -> DataFrame:
+    """The single column of ``df``, in its order, as a text file that is read back by lines."""
+    path = scratch(df.sparkSession, name)
+    df.coalesce(1).write.text(path)
+    return readers.numbered_lines(df.sparkSession, path).drop("file")
+
+
+def records(spark, d) -> DataFrame:
+    """Documents as JSON lines with faults by doc_id, read back and parsed."""
+    k = F.col("doc_id") % 50
+    docs = table(spark, d, "documents").orderBy("doc_id")
+    fields = F.struct(F.when(k == 0, " ").when(k == 4, "again").otherwise(F.col("doc_id").cast("string")).alias("id"), F.when(k == 1, " \n").otherwise(F.col("text")).alias("text"), F.lit("comment").alias("context"), F.when(k != 2, F.lit(True)).alias("spam"), F.when(k == 3, 1).alias("extra"))
+    return readers.parsed_records(lines_of(docs.select(F.to_json(fields).alias("value")), "records"))
+
+
+@query
+def src_jsonl(spark, d):
+    docs = table(spark, d, "documents").orderBy("doc_id")
+    made = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "text", F.lit(True).alias("spam")))
+    return readers.parsed_records(lines_of(docs.select(made.alias("value")), "jsonl")).select("line", "id", "text")
+
+
+@query
+def validate_records(spark, d):
+    return records(spark, d).select("line", "error")
+
+
+@query
+def strict_json(spark, d):
+    return records(spark, d).where("error = 'json'").select("line")
+
+
+@query
+def duplicate_ids(spark, d):
+    return records(spark, d).where("error = 'duplicate_id'").select("line")
+
+
+@query
+def first_error(spark, d):
+    return readers.first_error(records(spark, d))
+
+
+@query
+def import_tsv(spark, d):
+    c = table(spark, d, "customer").orderBy("c_custkey")
+    line = F.concat_ws("\t", F.when(F.col("c_nationkey") % 2 == 1, "spam").otherwise("ham"), "c_name", "c_mktsegment")
+    return readers.labelled_tsv(lines_of(c.select(line.alias("value")), "tsv"), "sms").select("id", "text", "spam")
+
+
+@query
+def import_csv_dedup(spark, d):
+    o = table(spark, d, "orders")
+    text = F.concat(F.lit('says "'), F.col("o_orderpriority"), F.lit('"\nok, '), F.col("o_orderstatus"))
+    rows = o.select(F.concat("o_orderstatus", "o_orderpriority").alias("COMMENT_ID"), text.alias("CONTENT"), F.when(F.col("o_orderstatus") == "F", "1").otherwise("0").alias("CLASS"))
+    path = scratch(spark, "comments")
+    rows.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    found, conflicts = readers.deduplicated(readers.comment_csv(spark, path, "yt").withColumn("id", F.regexp_replace("id", "^yt:[^:]*:", "yt:Comments:")))
+    return found.join(conflicts, "id", "left_anti").select("id", "text", "spam")
+
+
+@query
+def import_domains(spark, d):
+    host = F.upper(F.substring_index(F.substring_index("url", "://", -1), "/", 1))
+    rows = table(spark, d, "pages").select(F.explode(F.array(F.concat(F.lit(" "), host, F.lit(". ")), F.lit("# comment"), F.lit(""))).alias("value")).withColumn("line", F.lit(0).cast("long"))
+    return readers.domain_list(rows)[0]
+
+
+@query
+def seed_ip_ranges(spark, d):
+    s = table(spark, d, "supplier")
+    value = F.concat(F.lit("10."), F.col("s_suppkey") % 300, F.lit("."), F.col("s_nationkey"), F.lit("   0.5 rest"))
+    return readers.ip_ranges(s.select(F.explode(F.array(value, F.lit("# 1.2.3 0.4"), F.lit("1.2.3.4 0.5"), F.lit("1.2.3 x"))).alias("value")))
+
+
+@query
+def verify_sha256(spark, d):
+    path = scratch(spark, "checksum")
+    spark.createDataFrame([("payload",)], "value string").coalesce(1).write.text(path)
+    return readers.verified(spark, f"{path}/part-*", hashlib.sha256(b"payload\n").hexdigest().upper()).select("matches")
+
+
+@query
+def count_gate(spark, d):
+    return readers.gate(table(spark, d, "documents"), 1, 100_000)
+
+
+@query
+def source_select(spark, d):
+    manifest = table(spark, d, "documents").groupBy(F.col("source").alias("id")).agg(F.min("doc_id").alias("pos"))
+    return readers.selected_sources(manifest, ["src2", "src1"]).select("id")
+
+
+@query
+def sink_roundtrip(spark, d):
+    path = scratch(spark, "sink")
+    write_json(table(spark, d, "documents").select("doc_id", "text", "lang"), path)
+    return spark.read.schema("doc_id long, text string, lang string").json(path)
