@@ -112,9 +112,9 @@ def ip_bucket(ips: pd.Series) -> pd.Series:
             own = ipaddress.ip_address(ip)
         except ValueError:
             return None
-        if own.version == 4:
-            return signed(siphash13(own.packed[:3]))
-        return signed(siphash13(b"".join(own.packed[k : k + 2][::-1] for k in (0, 2, 4))))  # as three little-endian words
+        # Three octets or three little-endian words, after their number.
+        parts = own.packed[:3] if own.version == 4 else b"".join(own.packed[k : k + 2][::-1] for k in (0, 2, 4))
+        return signed(siphash13(struct.pack("<Q", 3) + parts))
 
     return ips.map(lambda x: one(x) if isinstance(x, str) else None).astype("Int64")
 
