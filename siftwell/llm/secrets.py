@@ -25,7 +25,10 @@ FIT_DOCS = 2_000
 #: Random strings made with a fixed seed that join the labelled ones.
 MADE = 2_000
 #: Log-likelihood ratio a letter, and in all, from which a candidate is a secret.
-PER_LETTER, IN_ALL = 0.6, 14.0
+PER_LETTER, IN_ALL = 0.8, 18.0
+#: Weight, in transitions, of the characters' own frequency in the estimate after a character, and the share of that
+#: which all characters have alike, so that marks a corpus lacks don't alone make a secret.
+BACKOFF, ALIKE = 5.0, 0.2
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 NUMBER = {c: k for k, c in enumerate(ALPHABET)}
 
@@ -72,8 +75,8 @@ class Ratio:
         found = []
         for m in CANDIDATE.finditer(text):
             s = m[0]
-            # A run of one case without digits or of few letters is an identifier, a number or a rule.
-            if len(set(s)) < 8 or s.isdigit() or s.isalpha() and (s.islower() or s.isupper() or s.istitle()):
+            # A run of few characters is a rule or a number, one without digits an identifier.
+            if len(set(s)) < 8 or not any(map(str.isdigit, s)):
                 continue
             if any(a < m.end() and m.start() < b for a, b, _ in base):
                 continue
@@ -99,14 +102,15 @@ def fitted(docs: DataFrame) -> Ratio:
                 rest = list(text)
                 for a, b, _ in base:
                     rest[a:b] = " " * (b - a)
-                rows |= {(w, 0) for w in re.findall(r"[A-Za-z0-9_-]{4,}", "".join(rest)) if re.search("[A-Za-z]", w)}
+                # A long word with digits may be a secret that no pattern knows, so it is no ordinary sample.
+                rows |= {(w, 0) for w in re.findall(r"[A-Za-z0-9_-]{4,}", "".join(rest)) if re.search("[A-Za-z]", w) and (len(w) < 16 or not re.search("[0-9]", w))}
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["word", "label"])
 
     # Counts of transitions are small whatever the sample holds, so only they reach the driver.
     pairs = words.mapInArrow(labelled, "word string, label int").distinct()
     steps = pairs.select("label", F.explode(F.expr("transform(sequence(0, length(word) - 1), i -> substring(word, greatest(i, 1), if(i = 0, 1, 2)))")).alias("step")).where("length(step) > 0").groupBy("label", "step").count().collect()
     k = len(ALPHABET)
-    n = np.full((2, k + 1, k), 0.5)  # label, character before (the last row: none), character
+    n = np.zeros((2, k + 1, k))  # label, character before (the last row: none), character
     for s in made_strings():
         c = coded(s)
         n[1, k, c[0]] += 1
@@ -114,7 +118,9 @@ def fitted(docs: DataFrame) -> Ratio:
     for label, step, count in steps:
         if all(c in NUMBER for c in step):
             n[label, NUMBER[step[0]] if len(step) == 2 else k, NUMBER[step[-1]]] += count
-    p = np.log(n / n.sum(2, keepdims=True))
+    alone = n.sum(1, keepdims=True) + 0.5
+    alone = (1 - ALIKE) * alone / alone.sum(2, keepdims=True) + ALIKE / k
+    p = np.log((n + BACKOFF * alone) / (n.sum(2, keepdims=True) + BACKOFF))
     return Ratio(p[1] - p[0])
 
 
