@@ -25,7 +25,7 @@ FIT_DOCS = 2_000
 #: Random strings made with a fixed seed that join the labelled ones.
 MADE = 2_000
 #: Log-likelihood ratio a letter, and in all, from which a candidate is a secret.
-PER_LETTER, IN_ALL = 0.8, 18.0
+PER_LETTER, IN_ALL = 0.5, 14.0
 #: Weight, in transitions, of the characters' own frequency in the estimate after a character, and the share of that
 #: which all characters have alike, so that marks a corpus lacks don't alone make a secret.
 BACKOFF, ALIKE = 5.0, 0.2
