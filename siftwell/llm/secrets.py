@@ -75,8 +75,8 @@ class Ratio:
         found = []
         for m in CANDIDATE.finditer(text):
             s = m[0]
-            # A run of few characters is a rule or a number, one without digits an identifier.
-            if len(set(s)) < 8 or not any(map(str.isdigit, s)):
+            # A run of few characters is a rule, one of digits a number, one without digits an identifier.
+            if len(set(s)) < 8 or s.isdigit() or not any(map(str.isdigit, s)):
                 continue
             if any(a < m.end() and m.start() < b for a, b, _ in base):
                 continue
