@@ -12,8 +12,8 @@ from siftwell.llm.common import Forest, checkpointed, components_marked, grid, t
 #: Hash tables, buckets that a vector looks into in each, and rotations of a hash.
 TABLES, PROBES, SPINS = 8, 4, 2
 COSINE = 0.93
-#: Rows of a block of a task.
-BLOCK_ROWS = 2_048
+#: Rows of a block of a bucket, rows of the buckets that a task takes together, and pairs that it compares at once.
+BLOCK_ROWS, PACK_ROWS, PAIRS = 2_048, 16_384, 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ def codes(unit: np.ndarray, seed: int = 2) -> np.ndarray:
     return out
 
 
-def unit_rows(vectors: list) -> np.ndarray:
+def unit_rows(vectors) -> np.ndarray:
     x = np.array(vectors, np.float64)
     # Scaling by the largest component first keeps very large and very small vectors from over- or underflow.
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -92,58 +92,86 @@ def postings(vectors: DataFrame) -> DataFrame:
     return vectors.select("embedding", "label", "node", "times").mapInArrow(run, "label int, dim int, slot long, id long, home boolean, times long, vec array<float>, codes array<long>")
 
 
-def linked_in(group: pa.Table, slot: int, cosine: float):
-    """Yields arrays (i, j) of rows of a bucket that link: a home row and another row, each pair in one bucket only.
+def candidates(bucket: np.ndarray, as_home: np.ndarray, ids: np.ndarray, at_home: np.ndarray, x: np.ndarray, cosine: float):
+    """Yields arrays (i, j) of rows of one bucket, i in a home role and j as a member, whose vectors link.
 
-    A pair that meets in several buckets counts in the first: that of the lowest table, and there of the lowest
-    number, in which one of them is at home.
+    Rows are sorted by bucket. Small buckets' pairs are laid out for all buckets at once, large buckets' blocks
+    multiplied as matrices.
     """
-    as_home = group.column("as_home").to_numpy()
-    ids = group.column("id").to_numpy()
-    at_home = group.column("home").to_numpy()
-    x = unit_rows(group.column("vec").to_pylist())
-    code = np.array(group.column("codes").to_pylist(), np.int64).reshape(-1, TABLES, PROBES)
-    table_of, own = slot >> 48, slot & ((1 << 48) - 1)
-    homes, members = np.flatnonzero(as_home), np.flatnonzero(~as_home)
-    for at in range(0, len(homes), 256):
-        h = homes[at : at + 256]
-        i, j = np.nonzero(x[h] @ x[members].T >= cosine - 1e-9)
-        i, j = h[i], members[j]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    sizes = np.diff(np.r_[starts, len(bucket)])
+    number = np.repeat(np.arange(len(starts)), sizes)
+    members = np.flatnonzero(~as_home)
+    first = np.searchsorted(members, starts)
+    many = np.searchsorted(members, starts + sizes) - first
+    homes = np.flatnonzero(as_home)
+    homes = homes[many[number[homes]] > 0]
+
+    def sifted(i, j):
         # Both at home: each pair is seen from both sides; one at home: from that side.
         good = (ids[i] != ids[j]) & (~at_home[j] | (ids[i] < ids[j]))
         i, j = i[good], j[good]
-        exact = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
-        i, j = i[exact], j[exact]
-        for s in range(0, len(i), 1 << 15):
-            a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-            ca, cb = code[a], code[b]
-            in_b, in_a = (cb == ca[:, :, :1]).any(2), (ca == cb[:, :, :1]).any(2)  # is a's own bucket one of b's, and so on
-            met = in_b | in_a
-            first = met.argmax(1) == table_of
-            ma, mb = ca[:, table_of, 0], cb[:, table_of, 0]
-            low = np.minimum(np.where(in_b[:, table_of], ma, 1 << 60), np.where(in_a[:, table_of], mb, 1 << 60))
-            good = first & (low == own)
-            yield ids, a[good], b[good]
+        near = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+        return i[near], j[near]
+
+    large = many[number[homes]] > 256
+    for b in np.unique(number[homes[large]]):
+        own, others = homes[number[homes] == b], members[first[b] : first[b] + many[b]]
+        for at in range(0, len(own), 256):
+            i, j = np.nonzero(x[own[at : at + 256]] @ x[others].T >= cosine - 1e-9)
+            for k in range(0, len(i), PAIRS):
+                yield sifted(own[at + i[k : k + PAIRS]], others[j[k : k + PAIRS]])
+    small = homes[~large]
+    n = many[number[small]]
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + PAIRS, PAIRS))
+    for a, b in zip(cuts, cuts[1:]):
+        own, k = small[a:b], n[a:b]
+        if len(own):
+            inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            yield sifted(np.repeat(own, k), members[np.repeat(first[number[own]], k) + inner])
+
+
+def first_met(i: np.ndarray, j: np.ndarray, code: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether a pair's bucket is the first in which it meets: of the lowest table, there of the lowest number, in
+    which one of the two is at home. So a pair that meets in several buckets counts once."""
+    table_of, own = slot[i] >> 48, slot[i] & ((1 << 48) - 1)
+    ca, cb = code[i], code[j]
+    in_b, in_a = (cb == ca[:, :, :1]).any(2), (ca == cb[:, :, :1]).any(2)  # is a's own bucket one of b's, and so on
+    first = (in_b | in_a).argmax(1) == table_of
+    k = np.arange(len(i))
+    low = np.minimum(np.where(in_b[k, table_of], ca[k, table_of, 0], 1 << 60), np.where(in_a[k, table_of], cb[k, table_of, 0], 1 << 60))
+    return first & (low == own)
 
 
 def links(vectors: DataFrame, cosine: float) -> DataFrame:
     """(node, n, root): counts of each node's links that a task found, and a root it is linked to within the task."""
 
     def run(key, group):  # no annotations: Spark would read them
-        ids = group.column("id").to_numpy()
-        times = group.column("times").to_numpy()
-        own, place = np.unique(ids, return_inverse=True)
+        group = group.combine_chunks().sort_by([(c, "ascending") for c in ("label", "slot", "hb", "mb")])
+        col = {c: group.column(c).to_numpy() for c in ("label", "slot", "hb", "mb", "id", "home", "times", "as_home")}
+        flat = lambda c: group.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        n = len(col["id"])
+        x = unit_rows(flat("vec").reshape(n, -1))
+        code = flat("codes").reshape(n, TABLES, PROBES)
+        changes = np.zeros(n, bool)
+        for c in ("label", "slot", "hb", "mb"):
+            changes[1:] |= col[c][1:] != col[c][:-1]
+        own, place = np.unique(col["id"], return_inverse=True)
         count, forest = np.zeros(len(own), np.int64), Forest(len(own))
-        for _, a, b in linked_in(group, key[2].as_py(), cosine):
-            np.add.at(count, place[a], times[b])
-            np.add.at(count, place[b], times[a])
-            forest.join(place[a], place[b])
+        for i, j in candidates(np.cumsum(changes), col["as_home"], col["id"], col["home"], x, cosine):
+            good = first_met(i, j, code, col["slot"])
+            i, j = i[good], j[good]
+            np.add.at(count, place[i], col["times"][j])
+            np.add.at(count, place[j], col["times"][i])
+            forest.join(place[i], place[j])
         hit = np.flatnonzero(count)
         return pa.table({"node": own[hit], "n": count[hit], "root": own[forest.root[hit]]})
 
     keys = ["label", "dim", "slot"]
     dealt = grid(postings(vectors), keys, BLOCK_ROWS).select(*keys, "hb", "mb", "id", "home", "times", "vec", "codes", "as_home")
-    return dealt.groupBy(*keys, "hb", "mb").applyInArrow(run, "node long, n long, root long")
+    packs = max(1, vectors.count() * TABLES * PROBES // PACK_ROWS)
+    pack = F.pmod(F.xxhash64(*keys, "hb", "mb"), F.lit(packs)).cast("int")
+    return dealt.withColumn("pack", pack).groupBy("dim", "pack").applyInArrow(run, "node long, n long, root long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
