@@ -112,3 +112,45 @@ def check_params(params: dict) -> None:
 def select_candidate(candidates: DataFrame) -> DataFrame:
     """The candidate (l2, validation_brier, validation_average_precision) of least Brier, then most precision, then most l2."""
     return candidates.orderBy("validation_brier", F.desc("validation_average_precision"), F.desc("l2")).limit(1)
+
+
+def train(rows: DataFrame, grid=GRID) -> tuple[dict, dict]:
+    """(params, report) of exported rows: fitted on train by each ridge strength, chosen on validation, reported on test.
+
+    Raises on faulty rows, on text groups of differing labels, and on a split without both classes. The report
+    holds each candidate's validation metrics, both classifiers' test metrics, and whether the trained one has
+    the lower Brier score and the higher average precision. Strengths whose fit diverges are left out.
+    """
+    from siftwell.operators import metrics
+
+    rows = rows.cache()
+    try:
+        if not invalid_rows(rows).isEmpty():
+            raise ValueError("training rows are repeated, of the wrong width or not finite")
+        if not label_conflicts(rows).isEmpty():
+            raise ValueError("rows of one text group differ in their label")
+        both = {r[0]: r[1] for r in rows.groupBy("split").agg(F.count_distinct("label")).collect()}
+        if any(both.get(s) != 2 for s in ("train", "validation", "test")):
+            raise ValueError("each split needs both classes")
+        part = {s: rows.where(F.col("split") == s) for s in both}
+        found, candidates = {}, []
+        for l2 in grid:
+            try:
+                params = fit(part["train"], l2)
+            except RuntimeError:
+                continue
+            check_params(params)
+            scored = logits(part["validation"], params).select(sigmoid(F.col("logit")).alias("score"), "label")
+            found[l2] = params
+            candidates.append((l2, metrics.brier(scored).first()[0], metrics.average_precision(scored).first()[0]))
+        spark = rows.sparkSession
+        best = select_candidate(spark.createDataFrame(candidates, "l2 double, validation_brier double, validation_average_precision double")).first()
+        params = found[best.l2]
+        test = logits(part["test"], params)
+        report = {name: metrics.signal_metrics(test.select(sigmoid(F.col(c)).alias("score"), "label")).first().asDict() for name, c in (("baseline", "baseline_logit"), ("trained", "logit"))}
+        report["candidates"] = candidates
+        report["counts"] = {r[0]: r[1] for r in rows.groupBy("split").count().collect()}
+        report["default_eligible"] = report["trained"]["brier"] < report["baseline"]["brier"] and report["trained"]["average_precision"] > report["baseline"]["average_precision"]
+        return params, report
+    finally:
+        rows.unpersist()
