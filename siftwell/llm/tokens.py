@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from dataclasses import dataclass
 
@@ -12,14 +13,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import shared_dir, table, written
+from siftwell.llm.common import shared_dir, table, union_all, written
 
 #: The tokenizer's vocabulary file, the pattern that goes with it, and the id that ends each document.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 #: Tokens of a sequence and sequences of a shard; ids have two bytes, little-endian.
-LENGTH, SHARD = 1024, 1024
+LENGTH, SHARD = 1024, 512
+#: Passes that the shards are written in, each over a range of slots, so that only a part of the tokens is shuffled at once.
+WAVES = 2
+#: Tasks up to which the places of their tokens are broadcast, 16 bytes each.
+BROADCAST_ROWS = 1 << 20
+#: Documents that are compressed together.
+BLOCK_DOCS = 256
 ROUNDS, KEY = 6, 8
 DTYPE = "<u2"
 
@@ -72,9 +79,9 @@ def read_ranks(vocabulary: str) -> dict[bytes, int]:
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(part, at, doc_id, n, tokens) as a written table: each document's ids and its end mark, compressed.
+    """(part, at, n, doc_ids, sizes, tokens) as a written table: blocks of documents' ids and end marks, compressed.
 
-    part and at tell the document's place among the tokens of the task that encoded it. Null and empty texts give the
+    part and at tell a block's place among the tokens of the task that encoded it. Null and empty texts give the
     end mark alone.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))  # a vocabulary, whatever the corpus
@@ -84,46 +91,56 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         from pyspark import TaskContext
 
         own, pack, part, at = encoder(ranks.value), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            starts, sizes, data = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.append(own.encode_to_numpy(text or "", disallowed_special=()), END).astype(DTYPE)
-                starts.append(at)
-                sizes.append(len(ids))
-                at += len(ids)
-                data.append(pack.compress(ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(starts), pa.int32()), pa.array(starts, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["part", "at", "doc_id", "n", "tokens"])
-
-    return written(docs.select("doc_id", "text").mapInArrow(run, "part int, at long, doc_id long, n long, tokens binary"), "tokens")
-
-
-def pieces(tokens: DataFrame, length: int, shard: int, key: int, total: int) -> DataFrame:
-    """(shard, slot, begins, doc_id, tokens): each document's stretch of every sequence that it reaches into."""
+        for whole in batches:
+            for k in range(0, whole.num_rows, BLOCK_DOCS):
+                batch = whole.slice(k, BLOCK_DOCS)
+                ids = [np.append(own.encode_to_numpy(text or "", disallowed_special=()), END).astype(DTYPE) for text in batch.column(1).to_pylist()]
+                sizes = [len(x) for x in ids]
+                n = sum(sizes)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                row = (part, at, n, batch.column(0).to_pylist(), sizes, pack.compress(np.concatenate(ids).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["part", "at", "n", "doc_ids", "sizes", "tokens"])
+                at += n
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, "part int, at long, n long, doc_ids array<long>, sizes array<long>, tokens binary"), "tokens")
+
+
+def pieces(tokens: DataFrame, length: int, shard: int, order: Permutation, slots_from: int, slots_to: int) -> DataFrame:
+    """(shard, slot, begins, doc_ids, tokens): each block's stretch of every sequence in the range of slots."""
     ends = tokens.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("size"))
     bases = ends.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))  # a row for each task
-    order = Permutation(-(-total // length), key)
 
     def run(batches):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
-        pack = zstandard.ZstdCompressor(level=3)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for k in range(batch.num_rows):
-                at, doc, n = (batch.column(c)[k].as_py() for c in range(3))
-                ids = np.frombuffer(unpack.decompress(batch.column(3)[k].as_py(), max_output_size=2 * n), DTYPE)
-                first, last = at // length, (at + n - 1) // length
-                sequences = np.arange(first, last + 1)
+                at, n = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                sequences = np.arange(at // length, (at + n - 1) // length + 1)
                 slots = order(sequences)
-                begins = np.maximum(sequences * length, at)
-                cuts = begins[1:] - at
+                keep = (slots >= slots_from) & (slots < slots_to)
+                if not keep.any():
+                    continue
+                sequences, slots = sequences[keep], slots[keep]
+                low, high = np.maximum(sequences * length, at) - at, np.minimum((sequences + 1) * length, at + n) - at
+                docs, sizes = batch.column(2)[k].values, batch.column(3)[k].values.to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                first, last = np.searchsorted(starts, low, "right") - 1, np.searchsorted(starts, high - 1, "right") - 1
+                many = last - first + 1
+                offsets = np.concatenate([[0], np.cumsum(many)])
+                taken = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, many)
+                data = memoryview(unpack.decompress(batch.column(4)[k].as_py(), max_output_size=2 * n))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(slots // shard), pa.array(slots), pa.array((begins - sequences * length).astype(np.int32)), pa.array([doc] * len(slots), pa.int64()),
-                    pa.array([pack.compress(x.tobytes()) for x in np.split(ids, cuts)], pa.binary()),
-                ], ["shard", "slot", "begins", "doc_id", "tokens"])
+                    pa.array(slots // shard), pa.array(slots), pa.array((low + at - sequences * length).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), docs.take(pa.array(taken))),
+                    pa.array([pack.compress(data[2 * a : 2 * b]) for a, b in zip(low.tolist(), high.tolist())], pa.binary()),
+                ], ["shard", "slot", "begins", "doc_ids", "tokens"])
 
-    placed = tokens.join(bases, "part").select((F.col("base") + F.col("at")).alias("at"), "doc_id", "n", "tokens")
-    return placed.mapInArrow(run, "shard long, slot long, begins int, doc_id long, tokens binary")
+    # A broadcast keeps the tokens where they are; with more tasks than that both sides are shuffled.
+    bases = F.broadcast(bases) if ends.count() <= BROADCAST_ROWS else bases
+    placed = tokens.join(bases, "part").select((F.col("base") + F.col("at")).alias("at"), "n", "doc_ids", "sizes", "tokens")
+    return placed.mapInArrow(run, "shard long, slot long, begins int, doc_ids array<long>, tokens binary")
 
 
 def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -135,7 +152,7 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard: int =
     of shard s // shard and training reads forward and resumes at any slot. Parts of a shard are written under
     a name of the attempt and renamed, so a task run again leaves the same files. n_tokens counts the tokens
     before the fill. An empty table writes nothing and gives no rows; repeated rows are encoded again; other
-    columns are ignored.
+    columns are ignored. Slots are written in WAVES passes one after the other, each shuffling its share only.
     """
     spark = docs.sparkSession
     tokens = encoded(docs, vocabulary)
@@ -143,7 +160,8 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard: int =
     schema = "slot long, shard long, byte_at long, n_tokens int, doc_ids array<long>, sha1 string"
     if not total:
         return spark.createDataFrame([], schema)
-    shards = -(-(-(-total // length)) // shard)
+    order = Permutation(-(-total // length), key)
+    shards = -(-order.n // shard)
 
     def write(batches):
         import zstandard
@@ -181,7 +199,7 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard: int =
                     out = store.open_output_stream(f"{name}.{attempt}.tmp", compression=None)
                 slot = sl
                 data += unpack.decompress(part, max_output_size=2 * length)
-                docs_of.append(doc)
+                docs_of += doc
             if len(rows) >= 4096:
                 yield batch()
                 rows.clear()
@@ -191,9 +209,18 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard: int =
         if rows:
             yield batch()
 
-    placed = pieces(tokens, length, shard, key, total)
-    dealt = placed.repartition(max(1, min(shards, 1 << 16)), "shard").sortWithinPartitions("shard", "slot", "begins")
-    return written(dealt.mapInArrow(write, schema), "sequences")
+    done = []
+    for wave in range(WAVES):
+        first, last = shards * wave // WAVES, shards * (wave + 1) // WAVES
+        if first == last:
+            continue
+        placed = pieces(tokens, length, shard, order, first * shard, last * shard)
+        dealt = placed.repartition(min(last - first, 1 << 16), "shard").sortWithinPartitions("shard", "slot", "begins")
+        done.append(written(dealt.mapInArrow(write, schema), "sequences"))
+        del placed, dealt
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the pass
+    return union_all(done)
 
 
 def read_slots(path: str, first: int, number: int, length: int = LENGTH, shard: int = SHARD) -> np.ndarray:
