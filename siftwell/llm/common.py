@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -27,7 +29,7 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     Where the setting is absent, a local master gets a temporary folder; a cluster is refused, since a
     machine-local folder would be invisible to the other machines.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_siftwell_dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_siftwell_dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
@@ -52,6 +54,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs that nothing refers to any more.
+
+    Spark's cleaner learns of them from the collectors of both languages, the JVM's a cycle later.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.0)
+
+
 def map_arrow(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
     """``rows`` from columns as lists to columns as lists, applied to slices of at most BATCH_ROWS rows."""
     from pyspark.sql.pandas.types import to_arrow_schema

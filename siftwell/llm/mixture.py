@@ -126,6 +126,6 @@ def arranged(docs: DataFrame, curriculum=cycling_weights, repeats: float = REPEA
     """
     picked = mix(docs, curriculum, repeats).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("target", "share", "steps", "source_size")))
     passes = picked.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("pass"), "at", "target", "share", "steps", "source_size")
-    timed = passes.select(F.col("doc_id").alias("_doc"), position(F.col("at") + F.col("pass") * F.col("source_size")).alias("_position"), F.col("pass").alias("_pass"))
-    joined = docs.join(timed, F.col("doc_id") == F.col("_doc"))
-    return joined.repartitionByRange("_position", "_doc").sortWithinPartitions("_position", "_doc", "_pass").select(docs.columns)
+    timed = passes.select(F.col("doc_id").alias("__mix_doc"), position(F.col("at") + F.col("pass") * F.col("source_size")).alias("__mix_position"), F.col("pass").alias("__mix_pass"))
+    joined = docs.join(timed, F.col("doc_id") == F.col("__mix_doc"))
+    return joined.repartitionByRange("__mix_position", "__mix_doc").sortWithinPartitions("__mix_position", "__mix_doc", "__mix_pass").select(docs.columns)

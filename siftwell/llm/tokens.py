@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import shared_dir, table, union_all, written
+from siftwell.llm.common import release, shared_dir, table, union_all, written
 
 #: The tokenizer's vocabulary file, the pattern that goes with it, and the id that ends each document.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -218,8 +217,8 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard: int =
         dealt = placed.repartition(min(last - first, 1 << 16), "shard").sortWithinPartitions("shard", "slot", "begins")
         done.append(written(dealt.mapInArrow(write, schema), "sequences"))
         del placed, dealt
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the pass
+        if wave + 1 < WAVES:
+            release(spark)
     return union_all(done)
 
 
