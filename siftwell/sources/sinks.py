@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir, or a temporary folder where a local session has none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
