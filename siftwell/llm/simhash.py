@@ -152,7 +152,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 12, seed: int = 42) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, seed: int = 42) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates on distinct word shingles.
 
     Two documents link if their 64-bit fingerprints lie within ``radius`` bits, their shingle counts within
