@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import smallest
+
 #: Labelled documents that a classifier is fitted on at most: those with the smallest hash of the doc_id.
 FIT_ROWS = 20_000
 
@@ -18,7 +20,7 @@ def held_out(modulus: int, remainder: int) -> Column:
 def fit_labels(labels: DataFrame, column: str, modulus: int, remainder: int) -> DataFrame:
     """(doc_id, label) of at most FIT_ROWS rows that are not held out; null, other and conflicting labels don't count."""
     one = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder)).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("_most")).where("label = _most")
-    return one.select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    return smallest(one.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id", FIT_ROWS)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float, weight: np.ndarray | None = None, steps: int = 60) -> np.ndarray:

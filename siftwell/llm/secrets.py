@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import BATCH_ROWS, table
+from siftwell.llm.common import BATCH_ROWS, smallest, table
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: What every assignment contains, found faster than the keyword.
@@ -88,7 +88,7 @@ class Ratio:
 
 def fitted(docs: DataFrame) -> Ratio:
     """Models of a bounded sample: secrets by the fixed patterns and made strings, against the other words."""
-    sample = docs.where("text IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
+    sample = smallest(docs.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", FIT_DOCS).distinct()
     words = docs.join(F.broadcast(sample), "doc_id").select("text")
 
     def labelled(batches):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import vptree
-from siftwell.llm.common import Forest, checkpointed, components_marked, grid, map_arrow, table
+from siftwell.llm.common import Forest, checkpointed, components_marked, grid, map_arrow, smallest, table
 
 #: Fingerprints that vantage points are chosen from at most, and leaves of a tree that the driver sends out at most.
 SAMPLE, LEAVES = 32_768, 4_096
@@ -90,7 +90,7 @@ def links(nodes: DataFrame, radius: int, wide: int | None = None, ratio: float =
     """
     n = nodes.count()
     leaves = min(LEAVES, max(64, 1 << int(np.ceil(np.log2(max(1, n / LEAF_ROWS))))))
-    sample = np.array([r[0] for r in nodes.select("fp", "node").orderBy(F.xxhash64("fp", "node")).limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in smallest(nodes.select("node", "fp"), "node", SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
     trees = [(half, vptree.build(sample, half, radius, leaves, seed=half)) for half in (0, 1)]
     if not any(isinstance(t, vptree.Node) for _, t in trees):
         trees = [(None, 0)]
