@@ -101,20 +101,34 @@ def build_index(items: list[tuple]) -> Index:
     return Index(vocabulary, ids, start, [i for i, _ in items], hashes, positions, bitmap)
 
 
-def verified(equal: np.ndarray, length: int) -> tuple[int, int, int] | None:
-    """(first, end, equal words) of the best run in an ungapped overlap with an item of ``length`` words, or None.
+def longest_run(equal: np.ndarray) -> tuple[int, int] | None:
+    """(first, end) of the longest run of at least MIN_WORDS words of which a share SIMILARITY is equal, or None.
 
-    The whole overlap counts if its equal words are a share SIMILARITY of the item; else the run with the largest
-    sum, of 1 for an equal word and -SIMILARITY / (1 - SIMILARITY) for another, if it has MIN_WORDS words.
+    With prefix sums of equal - SIMILARITY a run counts if its end's sum is no smaller than its start's. Of the
+    starts only those with a sum under all before can begin the longest run to an end.
     """
-    if equal.sum() >= SIMILARITY * length - 1e-9:
-        at = np.flatnonzero(equal)
-        return int(at[0]), int(at[-1]) + 1, int(equal.sum())
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -SIMILARITY / (1 - SIMILARITY)))])
+    total = np.concatenate([[0.0], np.cumsum(equal - SIMILARITY)]) + 1e-9 * np.arange(len(equal) + 1)  # for rounding
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    first = int(np.argmin(total[: end + 1]))
-    return (first, end, int(equal[first:end].sum())) if end - first >= MIN_WORDS else None
+    first = np.searchsorted(-low, -total, "left")  # the first start whose sum is no larger
+    length = np.arange(len(total)) - first
+    end = int(np.argmax(length))
+    return (int(first[end]), end) if length[end] >= MIN_WORDS else None
+
+
+def verified(equal: np.ndarray, length: int) -> tuple[int, int, int] | None:
+    """(first, end, equal words) of an ungapped overlap with an item of ``length`` words, or None.
+
+    The whole overlap counts if its equal words are a share SIMILARITY of the item, else its longest run. Words that
+    differ at either end are left out of what is returned.
+    """
+    first, end = 0, len(equal)
+    if equal.sum() < SIMILARITY * length - 1e-9:
+        run = longest_run(equal)
+        if run is None:
+            return None
+        first, end = run
+    at = first + np.flatnonzero(equal[first:end])
+    return int(at[0]), int(at[-1]) + 1, len(at)
 
 
 def overlaps(index: Index, numbers: Numbers, text: str | None) -> dict[int, tuple[int, int, int]]:

@@ -1,4 +1,7 @@
 import random
+from itertools import combinations
+
+import numpy as np
 
 from siftwell.llm import decontaminate as d
 from tests.llm.helpers import documents, empty, prose, rows
@@ -49,3 +52,37 @@ def test_empty_tables(spark):
     assert d.contaminated(documents(spark), empty(spark, BENCH)).count() == 0
     assert d.drop_contaminated(documents(spark), empty(spark, BENCH)).count() == len(rows())
     assert d.contaminated(empty(spark), spark.createDataFrame([(1, "one two three four five six")], BENCH)).count() == 0
+
+
+def test_partial_quotes_with_substitutions_are_found(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 60)) for k in range(12)]
+    docs = []
+    for k, (_, text) in enumerate(items):
+        n = (13, 14, 20, 30)[k % 4]
+        words = text.split()[10 : 10 + n]
+        for at in (4, 9, 15, 22, 27)[: n // 5]:
+            if at < n:
+                words[at] = "otherword"
+        docs.append((k, f"{prose(rng, 40)} {' '.join(words)} {prose(rng, 40)}", "en", "a", 0))
+    df, bench = documents(spark, docs), spark.createDataFrame(items, BENCH)
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(df, bench).collect()} == {(k, k) for k in range(12)}
+    assert d.drop_contaminated(df, bench).count() == 0
+
+
+def test_runs_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        equal = rng.random(rng.integers(1, 50)) < rng.choice([0.6, 0.75, 0.85])
+        n = len(equal)
+        want = max((b - a for a in range(n) for b in range(a + 13, n + 1) if 5 * equal[a:b].sum() >= 4 * (b - a)), default=None)
+        got = d.longest_run(equal)
+        assert (got and got[1] - got[0]) == want
+        assert got is None or 5 * equal[got[0] : got[1]].sum() >= 4 * want
+
+
+def test_every_run_has_a_seed():
+    for n, wrong in ((13, 2), (15, 3), (20, 4)):
+        for at in combinations(range(n), wrong):
+            equal = [k not in at for k in range(n)]
+            assert any(all(equal[s + k] for k, bit in enumerate(m) if bit == "1") for m in d.MASKS for s in range(n - len(m) + 1)), at
