@@ -89,3 +89,25 @@ def test_components_of_long_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(3, 3), (None, 4)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {k: v for k, v in got.items() if k != v} == {**{k: 100 for k in range(101, 161)}, **{k: 7 for k in range(200, 260)}}
+
+
+def jaccard(a, b, words=5):
+    x, y = ({tuple(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("rows_a_block", [1024, 9])
+def test_links_are_decided_by_exact_similarity(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(simhash, "CHECK_ROWS", rows_a_block)
+    rng = random.Random(11)
+    data, want = [], []
+    for k in range(150):  # pairs just above and just below 0.8: all of the first go, none of the second
+        text = prose(rng, 104)
+        words = text.split()
+        cut = 80 + rng.randint(0, 8)  # a shorter copy: (cut - 4) of 100 shingles
+        other = " ".join(words[:cut])
+        data += [(2 * k, text, "en", "a", 0), (2 * k + 1, other, "en", "a", 0)]
+        want += [2 * k] + ([2 * k + 1] if jaccard(text, other) < 0.8 else [])
+    assert 150 < len(want) < 299
+    kept = simhash.drop_near_duplicates(documents(spark, data))
+    assert sorted(r.doc_id for r in kept.collect()) == want
