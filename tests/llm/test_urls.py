@@ -1,4 +1,10 @@
+import random
+import re
+
 from siftwell.llm import urls
+from siftwell.llm.common import table
+
+DATA = "/root/testdata/sf0.01"
 
 PAGES = "page_id long, url string, html string"
 
@@ -28,24 +34,124 @@ def test_rules_equal_a_plain_reading(spark):
         assert r.rule == (best and best[0]) and (best is None or r.verdict == best[1]) and r.verdict in ("block", "allow")
 
 
+def plain_shape(path):
+    out = []
+    for s in path.split("/"):
+        if s:
+            n = re.fullmatch(r"[0-9]+(\.[A-Za-z0-9]+)?", s)
+            out.append("{n}" + (n[1] or "") if n else "{x}" if re.fullmatch("[0-9a-f]{8,}", s) else "{s}" if re.search("[0-9]", s) and len(s) >= 6 else s)
+    return tuple(out)
+
+
+def plain_tree(pages):
+    """(host, shape) → (template, purity), by recursion over dictionaries; pages are (host, path, bad)."""
+    hosts, out = {}, {}
+    for host, path, bad in pages:
+        own = hosts.setdefault(host, {}).setdefault(plain_shape(path), [0, 0, 0])
+        own[0] += 1
+        own[1] += bad is not None
+        own[2] += bad or 0
+
+    def grow(host, rows, above, labelled):  # rows: (shape, template so far, rest, counts)
+        if len({r[2] for r in rows}) == 1:
+            out.update({(host, r[0]): ("/".join(r[1] + r[2]), above) for r in rows})
+            return
+        same = 0
+        while len({r[2][same : same + 1] for r in rows}) == 1:
+            same += 1
+        by = {}
+        for r in rows:
+            by.setdefault("".join(r[2][same : same + 1]), []).append(r)
+        words = [s for s in by if s and s not in urls.WILD]
+        rare = sum(r[3][0] for s in words for r in by[s])
+        star = len(words) >= urls.VARIABLE and rare < urls.PER_SEGMENT * len(words)
+        named = {}
+        for s, own in by.items():
+            name = "*" if star and s in words else s
+            named.setdefault(name, []).extend((r[0], r[1] + r[2][:same] + ((name,) if s else ()), r[2][same + 1 :], r[3]) for r in own)
+        total = {name: [sum(r[3][c] for r in own) for c in (1, 2)] for name, own in named.items()}
+        groups, last = [[n for n in named if not total[n][0]]], None
+        for name in sorted((n for n in named if total[n][0]), key=lambda n: (total[n][1] / total[n][0], n)):
+            n, k = total[name]
+            if last is not None:
+                p = (k + last[1]) / (n + last[0])
+                apart = k / n - last[1] / last[0]
+            if last is None or apart * apart > urls.LIKE**2 * p * (1 - p) * (1 / n + 1 / last[0]):
+                groups.append([])
+            groups[-1].append(name)
+            last = n, k
+        for group in groups:
+            n, k = (sum(total[g][c] for g in group) for c in (0, 1))
+            if group:
+                grow(host, [r for g in group for r in named[g]], above if n in (0, labelled) else (k + urls.PRIOR * above) / (n + urls.PRIOR), n)
+
+    for host, shapes in hosts.items():
+        n, k = (sum(v[c] for v in shapes.values()) for c in (1, 2))
+        grow(host, [(s, (), s, v) for s, v in shapes.items()], (k + urls.PRIOR * urls.MEAN) / (n + urls.PRIOR), n)
+    return out
+
+
+def tree_of(spark, pages):
+    df = spark.createDataFrame(pages, "host string, path string, bad int").repartition(3)
+    return {(r.host, tuple(r["shape"])): (r.template, r.purity) for r in urls.template_tree(df).collect()}
+
+
+def same_tree(got, want):
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
+def test_tree_equals_brute_force(spark):
+    rng, pages = random.Random(5), []
+    for k in range(3000):
+        host = rng.choice(["h.test", "h.test", "i.test", ""])
+        parts = [rng.choice(["en", "de", "fr", "es"])] * rng.randint(0, 1) + [rng.choice(["news", "ads", "shop", rng.choice("abcdefghijkl") * 3]) for _ in range(rng.randint(0, 3))]
+        path = "/" + "/".join(parts + [rng.choice(["", "7", "8.html", "deadbeef01", "item7x9", "x"])])
+        bad = None if rng.random() < 0.4 else int(rng.random() < (0.95 if "ads" in parts else 0.1 if "news" in parts else 0.5))
+        pages.append((host, path, bad))
+    pages += [("deep.test", "/a" * 300 + f"/{x}", 1) for x in ("x", "y", "zz")] + [("h.test", "/" + "long" * 5000, None)]
+    got, want = tree_of(spark, pages), plain_tree(pages)
+    same_tree(got, want)
+    assert len({round(v[1], 6) for v in got.values()}) >= 8
+
+
+def test_query_equals_brute_force(spark):
+    pages = table(spark, DATA, "pages").select("page_id", "url").collect()
+    rows = {r.page_id: plain(r.url) for r in pages}
+    tree = plain_tree([(h, p, None if best is None else int(best[1] == "block")) for h, p, best in rows.values()])
+    got = urls.op5_url_filter(spark, DATA).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        host, path, best = rows[r.page_id]
+        template, purity = tree[host, plain_shape(path)]
+        assert (r.host, r.path, r.rule) == (host, path, best and best[0])
+        assert r.verdict == (best[1] if best else "block" if purity >= urls.PURITY else "allow")
+
+
+def test_pages_without_a_rule_are_judged_by_their_branch(spark):
+    rows = [(k, f"http://bad.com/{'en' if k < 20 else 'fr'}/{k}") for k in range(25)]
+    rows += [(100 + k, f"http://mixed.com/{'en' if k < 20 else 'fr'}/{k}") for k in range(25)] + [(200 + k, f"http://mixed.com/en/x{k}/y") for k in range(9)]
+    rules = (*urls.RULES, ("allow", "mixed.com", "/en/1"))
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame([(*r, "") for r in rows], PAGES), rules).collect()}
+    assert all(got[k].rule is None and got[k].verdict == "block" and got[k].purity >= urls.PURITY for k in range(20, 25))
+    assert all(got[100 + k].rule is None and got[100 + k].verdict == "allow" and urls.MEAN < got[100 + k].purity < urls.PURITY for k in range(20, 25))
+
+
 def test_templates_generalise_and_carry_labels(spark):
-    # Section "ads" of one host is bad, "news" good; names below vary.
-    rows, n = [], 0
+    # Section "ads" of one host is bad, "news" good; names below vary, and half of the pages have no label.
+    pages = []
     for k in range(400):
         for section, bad in (("ads", 1), ("news", 0)):
-            rows.append((n, f"http://h.test/{section}/item{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxy'[k // 100]}/{k}", bad if k % 2 else None))
-            n += 1
-    df = spark.createDataFrame(rows, "page_id long, url string, bad int").select("page_id", urls.host_of(urls.F.col("url")).alias("host"), urls.path_of(urls.F.col("url")).alias("path"), "bad")
-    tree = urls.rejected_templates(df).collect()
-    assert {r.template for r in tree} == {"ads/*/{n}", "news/*/{n}"}
-    purity = {r.template: r.purity for r in tree}
+            pages.append(("h.test", f"/{section}/item{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxy'[k // 100]}/{k}", bad if k % 2 else None))
+    purity = {t: p for t, p in tree_of(spark, pages).values()}
+    assert set(purity) == {"ads/*/{n}", "news/*/{n}"}
     assert purity["ads/*/{n}"] > 0.95 and purity["news/*/{n}"] < 0.05
 
 
-def test_like_siblings_merge(spark):
-    rows = [(f"/{a}/x{k}y7z8", (k * 7 + len(a)) % 10 < 3) for a in ("one", "two", "three") for k in range(100)]
-    df = spark.createDataFrame([("h", p, int(b)) for p, b in rows], "host string, path string, bad int")
-    assert {r.branch for r in urls.rejected_templates(df).collect()} == {"*/{s}"}
+def test_like_siblings_merge_at_every_depth(spark):
+    pages = [("h", f"/{top}/{a}/x{k}y7z8", int((k * 7 + len(a)) % 10 < 3)) for top in ("p", "q") for a in ("one", "two", "three") for k in range(100)]
+    df = spark.createDataFrame(pages, "host string, path string, bad int")
+    assert len({r.branch for r in urls.template_tree(df).collect()}) == 1
 
 
 def test_empty_table(spark):
