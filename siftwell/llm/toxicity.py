@@ -22,8 +22,6 @@ STEMS = (6, 5)
 #: Fitted documents (copies weighed down) that a unit must occur in, its least likelihood ratio (2 ln), its least
 #: |log-odds|, and the prior's weight in documents.
 LEAST, LEAST_G, LEAST_ODDS, PRIOR = 3.0, 15.0, 0.7, 20.0
-#: Occurrences of one spelling in a text that may raise segments; more are ordinary words.
-REPEATS = 3
 #: Minimum hashes by which copies among the fitted documents are weighed down.
 SKETCH = 8
 #: What each word costs a segment, so that segments of ordinary words sum to less than nothing.
@@ -52,34 +50,47 @@ class Scores(dict):
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, end, sum) of a sequence, in linear time (Ruzzo and Tompa, 1999)."""
-    at = np.flatnonzero(score > 0)
+    """All maximal scoring segments (first, end, sum) of a sequence, in linear time (Ruzzo and Tompa, 1999).
+
+    Each open segment keeps the place of the last one before it whose left sum is smaller; the search for a new one's
+    place jumps along these, and no jump is made twice.
+    """
     total = np.concatenate([[0.0], np.cumsum(score)])
-    found: list[list] = []  # first, end, sum before, sum after
-    for i in at.tolist():
-        now = [i, i + 1, total[i], total[i + 1]]
+    firsts, ends, lows, highs, before = [], [], [], [], []
+    for i, low, high in zip((at := np.flatnonzero(score > 0)).tolist(), total[at].tolist(), total[at + 1].tolist()):
+        first, j = i, len(lows) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= now[3]:
-                found.append(now)
+            while j >= 0 and lows[j] >= low:
+                j = before[j]
+            if j < 0 or highs[j] >= high:
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
-            del found[j:]
-    return [(a, b, float(y - x)) for a, b, x, y in found]
+            first, low, up = firsts[j], lows[j], before[j]
+            del firsts[j:], ends[j:], lows[j:], highs[j:], before[j:]
+            j = up
+        firsts.append(first), ends.append(i + 1), lows.append(low), highs.append(high), before.append(j)
+    return [(a, b, y - x) for a, b, x, y in zip(firsts, ends, lows, highs)]
 
 
-def scored_words(scores: Scores, text: str | None) -> np.ndarray:
-    """The score of every word of a text; from the fourth time on a spelling can't raise a segment."""
+def scored_words(scores: Scores, text: str | None) -> tuple[list[str], np.ndarray]:
+    """The words of a whole text and the score of every one."""
     words = (text or "").split()
-    s = np.fromiter(map(scores.__getitem__, words), float, len(words))
+    return words, np.fromiter(map(scores.__getitem__, words), float, len(words))
+
+
+def damped(words: list[str], s: np.ndarray, first: int, end: int) -> float:
+    """A segment's sum in which the n-th occurrence of a spelling within it counts 1/n, at most the whole.
+
+    Each repeat still raises it; a word said a hundred times counts as about five.
+    """
     seen: Counter = Counter()
-    for i in np.flatnonzero(s > 0).tolist():
-        seen[words[i]] += 1
-        if seen[words[i]] > REPEATS:
-            s[i] = -DRIFT
-    return s
+    total = 0.0
+    for word, x in zip(words[first:end], s[first:end].tolist()):
+        if x > 0:
+            seen[word] += 1
+            total += x / seen[word]
+        else:
+            total += x
+    return max(total, float(s[first:end].max()))
 
 
 class Model:
@@ -101,10 +112,15 @@ class Model:
         self.rate, self.shift, self.w = 1.0, 0.0, np.array([-2.0, 0.5, 0.0])
 
     def evidence(self, scores: Scores, text: str | None) -> tuple[float, float, int]:
-        """(best segment's sum, sum of all segments, words) of a whole text."""
-        s = scored_words(scores, text)
-        sums = [x[2] for x in segments(s)]
-        return max(sums, default=0.0), sum(sums), len(s)
+        """(best damped sum of a segment, damped sum of all segments' toxic words, words) of a whole text."""
+        words, s = scored_words(scores, text)
+        found = segments(s)
+        # Repeats are damped over the whole text in the sum of all segments, within the segment in the best one's.
+        seen: Counter = Counter()
+        for a, b, _ in found:
+            seen.update(words[k] for k in range(a, b) if s[k] > 0)
+        total = sum(scores[w] * (1 + np.log(n)) for w, n in seen.items())
+        return max((x[2] if x[1] - x[0] == 1 else damped(words, s, x[0], x[1]) for x in found), default=0.0), float(total), len(s)
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
         """(1, surprise of the best segment, of all segments): -ln P under the Gumbel law, which grows with ln(words)."""
@@ -205,10 +221,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remain
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Each word scores its log-odds between toxic and clean fitted documents; every maximal scoring segment of the
-    whole text is found, the best one's sum becomes a p-value of the Gumbel law that clean documents follow, and
-    a logistic curve over that and the sum of all segments gives the score. Null and empty texts hold no
-    segment and get the base score; repeated rows are scored alike; without labels of both classes every score
-    is the base score. The model is fitted on at most FIT_ROWS labelled rows that are not held out.
+    whole text is found by uncapped scores and in linear time, however long the text. For the score repeats are
+    damped: the n-th occurrence of a spelling in a segment adds 1/n of its score. The best segment's sum becomes a
+    p-value of the Gumbel law that clean documents follow, and a logistic curve over that and the sum of all segments
+    gives the score. Null and empty texts hold no segment and get the base score; repeated rows are scored alike;
+    of equal segments the first counts; without labels of both classes every score is the base score; an empty table
+    gives no rows. The model is fitted on at most FIT_ROWS labelled rows that are not held out.
     """
     model = fitted(docs, labels, modulus, remainder)
 
@@ -221,16 +239,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remain
 
 
 def toxic_passages(docs: DataFrame, model: Model, p: float = 1e-3) -> DataFrame:
-    """(doc_id, first_word, end_word, score, p_value): every segment whose p-value is at most ``p``."""
+    """(doc_id, first_word, end_word, score, p_value): every segment whose p-value is at most ``p``.
+
+    score is the segment's sum, p_value that of its damped sum. A passage that a text repeats is found each time.
+    """
 
     def run(batches):
         scores = Scores(model.odds)
         for batch in batches:
             rows = []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_word = scored_words(scores, text)
+                words, by_word = scored_words(scores, text)
                 for a, b, s in segments(by_word):
-                    chance = float(-np.expm1(-np.exp(-np.clip(model.rate * s - model.shift - np.log(max(1, len(by_word))), -30, 600))))
+                    above = model.rate * damped(words, by_word, a, b) - model.shift - np.log(max(1, len(words)))
+                    chance = float(-np.expm1(-np.exp(-np.clip(above, -30, 600))))
                     if chance <= p:
                         rows.append((d, a, b, s, chance))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "first_word", "end_word", "score", "p_value"])
