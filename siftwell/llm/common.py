@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that operators hand on at most; long texts make batches large.
@@ -151,18 +151,34 @@ def components_marked(edges: DataFrame, nodes: DataFrame, node: str) -> DataFram
     return nodes.join(found, node, "left").withColumn("root", F.coalesce("root", node))
 
 
-def grid(rows: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """Deals ``rows`` (with booleans ``home``) of each key into blocks of about ``cap`` rows.
+def bucket_sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _h, _n) as a written table: the rows at home and all rows of each key with pairs to look at."""
+    sizes = rows.groupBy(*keys).agg(F.sum(F.col("home").cast("long")).alias("_h"), F.count("*").alias("_n"))
+    return written(sizes.where("_h > 0 AND _n > 1"), "sizes")
+
+
+def blocks(n: str, cap: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / cap).cast("int"))
+
+
+def dealt_rows(sizes: DataFrame, cap: int) -> int:
+    """The rows that ``grid`` makes of buckets of these sizes."""
+    return int(sizes.agg(F.sum(F.col("_h") * blocks("_n", cap) + F.col("_n") * blocks("_h", cap))).first()[0] or 0)
+
+
+def grid(rows: DataFrame, keys: list[str], cap: int, sizes: DataFrame) -> DataFrame:
+    """Deals ``rows`` (with booleans ``home``) of each key of ``sizes`` into blocks of about ``cap`` rows.
 
     Adds ``hb`` and ``mb``, the home block and member block of a task: home rows meet every member block,
     all rows are members and meet every home block. Groups of the result by keys, hb and mb hold about
     two caps of rows however large a key is, and no pair of a home row and another row is lost. Rows carry
-    ``as_home`` to tell in which role they come. The random deal is by a hash of ``id``.
+    ``as_home`` to tell in which role they come. The random deal is by a hash of ``id``. A row is read once and
+    dealt in both roles at once.
     """
-    size = rows.groupBy(*keys).agg(F.sum(F.col("home").cast("long")).alias("_h"), F.count("*").alias("_n"))
-    dealt = rows.join(size.withColumnsRenamed({k: f"_{k}" for k in keys}), reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys])).where("_h > 0 AND _n > 1")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / cap).cast("int"))
-    own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), blocks(n)).cast("int")
-    homes = dealt.where("home").select(*rows.columns, own("_h", 1).alias("hb"), F.explode(F.sequence(F.lit(0), blocks("_n") - 1)).alias("mb"), F.lit(True).alias("as_home"))
-    members = dealt.select(*rows.columns, F.explode(F.sequence(F.lit(0), blocks("_h") - 1)).alias("hb"), own("_n", 2).alias("mb"), F.lit(False).alias("as_home"))
-    return homes.unionByName(members)
+    dealt = rows.join(sizes.withColumnsRenamed({k: f"_{k}" for k in keys}), reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys]))
+    own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), blocks(n, cap)).cast("int")
+    place = lambda hb, mb, home: F.struct(hb.alias("hb"), mb.alias("mb"), F.lit(home).alias("as_home"))
+    as_home = F.transform(F.sequence(F.lit(0), blocks("_n", cap) - 1), lambda mb: place(own("_h", 1), mb, True))
+    as_member = F.transform(F.sequence(F.lit(0), blocks("_h", cap) - 1), lambda hb: place(hb, own("_n", 2), False))
+    roles = F.when(F.col("home"), F.concat(as_home, as_member)).otherwise(as_member)
+    return dealt.select(*rows.columns, F.inline(roles))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import vptree
-from siftwell.llm.common import Forest, checkpointed, components, components_marked, grid, map_arrow, smallest, table
+from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components, components_marked, grid, map_arrow, smallest, table
 
 #: Fingerprints that vantage points are chosen from at most, and leaves of a tree that the driver sends out at most.
 SAMPLE, LEAVES = 32_768, 4_096
@@ -137,7 +137,7 @@ def links(nodes: DataFrame, radius: int, wide: int | None = None, ratio: float =
 
     rows = nodes.select("node", "fp", "v1", "v2", "v3", "n").mapInArrow(routed, "tree int, leaf int, band int, home boolean, " + NODE.replace("node", "id"))
     keys = ["tree", "leaf", "band"]
-    dealt = grid(rows, keys, BLOCK_ROWS).drop("home")
+    dealt = grid(rows, keys, BLOCK_ROWS, bucket_sizes(rows, keys)).drop("home")
     return dealt.groupBy(*keys, "hb", "mb").applyInArrow(linked, "a long, b long")
 
 
