@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import vptree
-from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components, components_marked, grid, map_arrow, smallest, table
+from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components, components_marked, grid, map_arrow, smallest, table, written
 
-#: Fingerprints that vantage points are chosen from at most, and leaves of a tree that the driver sends out at most.
+#: Fingerprints that vantage points are chosen from at most, and leaves of a fitted tree; beyond them leaves go on by
+#: implied points.
 SAMPLE, LEAVES = 32_768, 4_096
-#: Fingerprints at home in a leaf that the tree aims at, and rows of a block of a task.
-LEAF_ROWS, BLOCK_ROWS = 1_024, 8_192
+#: Fingerprints at home in a leaf that the trees of ``links`` and of ``near_links`` aim at, and rows of a block of a task.
+LEAF_ROWS, NEAR_LEAF_ROWS, BLOCK_ROWS, NEAR_BLOCK_ROWS = 1_024, 16_384, 8_192, 65_536
+#: Share of the pairs at the bound that all tables of ``near_links`` may miss, and chance partners of a node in a table.
+MISS, CROWD = 0.01, 256
 #: Odd multipliers from which a shingle's further 64-bit hashes are mixed.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 NODE = "node long, fp long, v1 long, v2 long, v3 long, n long"
-#: Candidates of a task's pack, rows and shingles of its blocks, and pairs that are compared before joined ones are left out.
-PACK_ROWS, CHECK_ROWS, CHECK_SHINGLES, CHECK_PAIRS = 512, 1_024, 1 << 21, 256
+#: Candidates of a task's pack, rows and shingles of its blocks, candidates of a component that meet all of its blocks, and
+#: pairs that are compared before joined ones are left out.
+PACK_ROWS, CHECK_ROWS, CHECK_SHINGLES, PIVOTS, CHECK_PAIRS = 512, 1_024, 1 << 21, 32, 256
+#: Pairs of one bucket that are laid out at once.
+PAIRS = 1 << 20
 #: Standard deviations over the expected distance of 256 bits up to which a pair is a candidate.
 SPREAD = 6.0
 
@@ -68,12 +75,12 @@ def with_fingerprint(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), rows, "doc_id long, fp long")
 
 
-def with_wide_fingerprint(docs: DataFrame, words: int, seed: int, passed: str = "", shingles: bool = False) -> DataFrame:
-    """(doc_id, fp, v1, v2, v3, n): 256 bits over the distinct shingles, and their number n.
+def with_wide_fingerprint(docs: DataFrame, words: int, seed: int, passed: str = "doc_id long", shingles: bool = False) -> DataFrame:
+    """(passed, fp, v1, v2, v3, n): 256 bits over the distinct shingles, and their number n.
 
-    Long columns named in ``passed`` pass through; with ``shingles`` the sorted distinct hashes come as well.
+    The columns declared in ``passed`` pass through; with ``shingles`` the sorted distinct hashes come as well.
     """
-    kept = ["doc_id", *passed.split()]
+    kept = [c.split()[0] for c in passed.split(", ")]
 
     def rows(x: dict) -> dict:
         out: dict = {**{c: x[c] for c in kept}, "fp": [], "v1": [], "v2": [], "v3": [], "n": [], **({"shingles": []} if shingles else {})}
@@ -86,128 +93,269 @@ def with_wide_fingerprint(docs: DataFrame, words: int, seed: int, passed: str =
                 out["shingles"].append(h.tobytes())
         return {k: np.array(v, np.uint64).view(np.int64) if k in ("fp", "v1", "v2", "v3") else v for k, v in out.items()}
 
-    schema = ", ".join(f"{c} long" for c in [*kept, "fp", "v1", "v2", "v3", "n"]) + (", shingles binary" if shingles else "")
+    schema = ", ".join([passed, *(f"{c} long" for c in ["fp", "v1", "v2", "v3", "n"])]) + (", shingles binary" if shingles else "")
     return map_arrow(docs.select(*kept, F.col("text").cast("binary").alias("text")), rows, schema)
 
 
-def links(nodes: DataFrame, radius: int, wide: int | None = None, ratio: float = 0.0) -> DataFrame:
+def fitted_leaves(n: int, leaf_rows: int) -> tuple[int, int]:
+    """(leaves of a fitted tree, times that each is split again) for about ``leaf_rows`` of ``n`` fingerprints in a leaf."""
+    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf_rows)))))
+    return 1 << min(depth, LEAVES.bit_length() - 1), max(0, depth - LEAVES.bit_length() + 1)
+
+
+def sampled(nodes: DataFrame, columns: list[str]) -> np.ndarray:
+    """(rows, columns) of at most SAMPLE nodes as unsigned words."""
+    found = smallest(nodes.select("node", *columns), "node", SAMPLE).select(*columns).collect()
+    return np.array([tuple(r) for r in found], np.int64).reshape(-1, len(columns)).view(np.uint64)
+
+
+def links(nodes: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) between ``node`` values that connect all nodes whose fp lie within ``radius`` bits.
 
-    With ``wide``, a link also needs all 256 bits within that many and shingle counts n within ``ratio`` of one
-    another; bands of n then part the work further. Nothing that meets these bounds is missed: the vantage points
-    come from a bounded sample and only steer the work. Edges are a spanning forest of the links that each task
-    finds, so a dense group of m near copies gives about m edges a task. Where a radius is so wide that no
-    vantage point prunes, the tree is one leaf and the blocks of its grid meet one another.
+    Nothing is missed: the vantage points come from a bounded sample and only steer the work. Edges are a spanning
+    forest of the links that each task finds, so a dense group of m near copies gives about m edges a task.
     """
-    n = nodes.count()
-    leaves = min(LEAVES, max(64, 1 << int(np.ceil(np.log2(max(1, n / LEAF_ROWS))))))
-    sample = np.array([r[0] for r in smallest(nodes.select("node", "fp"), "node", SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-    trees = [(half, vptree.build(sample, half, radius, leaves, seed=half)) for half in (0, 1)]
-    if not any(isinstance(t, vptree.Node) for _, t in trees):
-        trees = [(None, 0)]
-    banded = wide is not None
+    leaves, more = fitted_leaves(nodes.count(), LEAF_ROWS)
+    sample = sampled(nodes, ["fp"])[:, 0]
+    trees = [vptree.build(sample, half, radius, leaves, seed=half) for half in (0, 1)]
 
     def routed(batches):
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
-            band = np.floor(np.log(np.maximum(1, batch.column("n").to_numpy())) / -np.log(ratio)).astype(np.int32) if banded else np.zeros(len(fps), np.int32)
-            for t, (_, tree) in enumerate(trees):
-                for leaf, home, visit in vptree.route(tree, fps):
-                    # Partners of like size are in the same band or the next: each row also visits the band below.
-                    parts = [(home, 0, True), (visit, 0, False)] + ([(home, 1, False), (visit, 1, False)] if banded else [])
-                    for at, lower, own in parts:
-                        if k := len(at):
-                            x = batch.take(pa.array(at))
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, t, np.int32)), pa.array(np.full(k, leaf, np.int32)), pa.array(band[at] - np.int32(lower)), pa.array(np.full(k, own)), *x.columns], ["tree", "leaf", "band", "home", "id", *x.schema.names[1:]])
+            for half, tree in enumerate(trees):
+                for leaf, home, visit in vptree.route(tree, fps, more, half, radius):
+                    x = batch.take(pa.array(np.concatenate([home, visit])))
+                    k = x.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, half, np.int32)), pa.array(np.full(k, leaf, np.int64)), pa.array(np.arange(k) < len(home)), *x.columns], ["half", "leaf", "home", "id", "fp"])
 
     def linked(key, group):  # no annotations: Spark would read them
-        col = {c: group.column(c).to_numpy() for c in group.column_names}
+        col = {c: group.column(c).to_numpy() for c in ("id", "fp", "as_home")}
         own, at = np.unique(col["id"], return_inverse=True)
         homes, members, forest = np.flatnonzero(col["as_home"]), np.flatnonzero(~col["as_home"]), Forest(len(own))
-        bits = {c: col[c].view(np.uint64) for c in ("fp", "v1", "v2", "v3")}
-        for i, j in vptree.pairs(bits["fp"][homes], bits["fp"][members], trees[key[0].as_py()][0], radius):
-            i, j = homes[i], members[j]
-            if wide is not None:
-                small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
-                good = (small >= ratio * large - 1e-9) & (sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int32) for b in bits.values()) <= wide)
-                i, j = i[good], j[good]
-            forest.join(at[i], at[j])
+        fp = col["fp"].view(np.uint64)
+        for i, j in vptree.pairs(fp[homes], fp[members], key[0].as_py(), radius):
+            forest.join(at[homes[i]], at[members[j]])
         moved = np.flatnonzero(forest.root != np.arange(len(own)))
         return pa.table({"a": own[moved], "b": own[forest.root[moved]]})
 
-    rows = nodes.select("node", "fp", "v1", "v2", "v3", "n").mapInArrow(routed, "tree int, leaf int, band int, home boolean, " + NODE.replace("node", "id"))
-    keys = ["tree", "leaf", "band"]
+    rows = nodes.select("node", "fp").mapInArrow(routed, "half int, leaf long, home boolean, id long, fp long")
+    keys = ["half", "leaf"]
     dealt = grid(rows, keys, BLOCK_ROWS, bucket_sizes(rows, keys)).drop("home")
     return dealt.groupBy(*keys, "hb", "mb").applyInArrow(linked, "a long, b long")
 
 
+def chances(n: int, p: float) -> np.ndarray:
+    """The binomial law of ``n`` trials."""
+    k = np.arange(n + 1)
+    log = np.array([lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) for x in k]) + k * np.log(p) + (n - k) * np.log1p(-p)
+    return np.exp(log)
+
+
+def key_tables(n: int, share: float) -> tuple[int, int]:
+    """(bits of a key, tables) for ``n`` nodes and a pair whose 256 bits differ by ``share`` each.
+
+    Keys are long enough that a node has about CROWD chance partners within a bit in a table; tables are as many as it
+    takes for a share MISS of such pairs at most to be further than a bit apart in all of them.
+    """
+    bits = next(w for w in range(8, 64) if n * (w + 1) <= CROWD << w)
+    pick = lambda of, k: lgamma(of + 1) - lgamma(k + 1) - lgamma(of - k + 1)
+    close = [sum(np.exp(pick(d, k) + pick(256 - d, bits - k) - pick(256, bits)) for k in (0, 1) if k <= d and bits - k <= 256 - d) for d in range(257)]
+    law, tables = chances(256, share), 1
+    while law @ (1 - np.minimum(1, close)) ** tables > MISS:
+        tables += 1
+    return bits, tables
+
+
+def key_of(words: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """Keys made of the bits at ``positions`` of each row's 256 (four words)."""
+    out = np.zeros(len(words), np.uint64)
+    for k, at in enumerate(positions.tolist()):
+        out |= (words[:, at // 64] >> np.uint64(at % 64) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
+def within_a_bit(homes: np.ndarray, members: np.ndarray, bits: int):
+    """Yields (first, many) for each home: where in the sorted ``members`` its partners at no or one certain bit stand."""
+    for flip in [0, *(1 << k for k in range(bits))]:
+        key = homes ^ np.uint64(flip)
+        first = np.searchsorted(members, key, "left")
+        yield first, np.searchsorted(members, key, "right") - first
+
+
+def near_links(nodes: DataFrame, similarity: float, wide: int, share: float) -> DataFrame:
+    """Candidate edges (a, b) that connect nodes whose 256 bits lie within ``wide`` and whose shingle counts n allow
+    ``similarity``, as far as they are within a bit in the key of some table (see ``key_tables``).
+
+    Each table has a vantage-point tree of its keys, whose triangle bounds at a radius of one bit prune well; homes
+    meet the members of their leaf. Edges are a spanning forest of what each task finds; members of a bucket that are
+    connected already aren't compared again.
+    """
+    n = nodes.count()
+    (leaves, more), (bits, tables) = fitted_leaves(n, NEAR_LEAF_ROWS), key_tables(n, share)
+    rng = np.random.default_rng(4)
+    positions = [np.sort(rng.permutation(256)[:bits]) for _ in range(tables)]
+    words = ["fp", "v1", "v2", "v3"]
+    sample = sampled(nodes, words)
+    trees = [vptree.build(key_of(sample, at), None, 1, leaves, seed=t) for t, at in enumerate(positions)]
+
+    def routed(batches):
+        for batch in batches:
+            own = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
+            for t, (tree, at) in enumerate(zip(trees, positions)):
+                keys = key_of(own, at)
+                for leaf, home, visit in vptree.route(tree, keys, more, None, 1, bits):
+                    rows = np.concatenate([home, visit])
+                    x, k = batch.take(pa.array(rows)), len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, t, np.int32)), pa.array(np.full(k, leaf, np.int64)), pa.array(np.arange(k) < len(home)), pa.array(keys[rows].view(np.int64)), *x.columns], ["tree", "leaf", "home", "key", "id", *words, "n"])
+
+    def linked(key, group):  # no annotations: Spark would read them
+        group = group.combine_chunks().sort_by([("key", "ascending"), ("fp", "ascending")])
+        col = {c: group.column(c).to_numpy() for c in ("id", "key", "n", "as_home")}
+        bits_of = np.stack([group.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
+        own, at = np.unique(col["id"], return_inverse=True)
+        homes, members, forest = np.flatnonzero(col["as_home"]), np.flatnonzero(~col["as_home"]), Forest(len(own))
+
+        def tried(i, j):
+            open_ = forest.root[at[i]] != forest.root[at[j]]
+            i, j = i[open_], j[open_]
+            small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
+            good = (small >= similarity * large - 1e-9) & (np.bitwise_count(bits_of[i] ^ bits_of[j]).sum(1, dtype=np.int32) <= wide)
+            forest.join(at[i[good]], at[j[good]])
+
+        for step in (1, 2, 3, 5, 8, 13):  # neighbours in order first: they connect most of a dense bucket
+            tried(members[:-step], members[step:])
+        mine, theirs = (col["key"][x].view(np.uint64) for x in (homes, members))
+        for first, many in within_a_bit(mine, theirs, bits):
+            # A bucket of members in one component is skipped by homes of that component.
+            root = forest.root[at[members]]
+            some = np.flatnonzero(many)
+            if len(some):
+                low = np.minimum.reduceat(np.append(root, root.max()), np.stack([first, first + many], axis=1)[some].ravel())[::2]
+                high = np.maximum.reduceat(np.append(root, 0), np.stack([first, first + many], axis=1)[some].ravel())[::2]
+                some = some[(low != high) | (low != forest.root[at[homes[some]]])]
+            size = many[some]
+            cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + PAIRS, PAIRS))
+            for a, b in zip(cuts, cuts[1:]):
+                one, k = some[a:b], size[a:b]
+                if len(one):
+                    inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    tried(np.repeat(homes[one], k), members[np.repeat(first[one], k) + inner])
+        moved = np.flatnonzero(forest.root != np.arange(len(own)))
+        return pa.table({"a": own[moved], "b": own[forest.root[moved]]})
+
+    rows = nodes.select("node", *words, "n").mapInArrow(routed, "tree int, leaf long, home boolean, key long, " + NODE.replace("node", "id"))
+    keys = ["tree", "leaf"]
+    dealt = grid(rows, keys, NEAR_BLOCK_ROWS, bucket_sizes(rows, keys)).drop("home")
+    return dealt.groupBy(*keys, "hb", "mb").applyInArrow(linked, "a long, b long")
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets have a Jaccard similarity of at least ``similarity``."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
+def compared(col: dict, sets: list[np.ndarray], homes: np.ndarray, members: np.ndarray, once: bool, similarity: float, wide: int) -> Forest:
+    """A forest over the rows' numbers ``at``, in which those that link are joined.
+
+    Pairs of ``homes`` and ``members`` of one candidate component but not of one ``part`` are compared, nearest first;
+    those that are connected already are left out. ``once`` takes each pair of rows that are both from one side.
+    """
+    forest, pairs = Forest(int(col["at"].max()) + 1 if len(col["at"]) else 0), []
+    step = max(1, (1 << 20) // max(1, len(members)))
+    for k in range(0, len(homes), step):
+        own = homes[k : k + step]
+        i, j = np.nonzero((col["root"][own, None] == col["root"][None, members]) & (col["part"][own, None] != col["part"][None, members]))
+        i, j = own[i], members[j]
+        small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
+        apart = np.bitwise_count(col["bits"][i] ^ col["bits"][j]).sum(1, dtype=np.int32)
+        good = (small >= similarity * large - 1e-9) & (apart <= wide) & ((i < j) | (not once))
+        pairs.append(np.stack([apart[good], i[good], j[good]]))
+    apart, i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+    order = np.argsort(apart, kind="stable")
+    i, j, at = i[order], j[order], col["at"]
+    while len(i):
+        open_ = forest.root[at[i]] != forest.root[at[j]]
+        i, j = i[open_], j[open_]
+        x, y = i[:CHECK_PAIRS], j[:CHECK_PAIRS]
+        good = np.array([alike(sets[a], sets[b], similarity) for a, b in zip(x, y)], bool)
+        forest.join(at[x[good]], at[y[good]])
+        i, j = i[CHECK_PAIRS:], j[CHECK_PAIRS:]
+    return forest
+
+
 def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, seed: int, similarity: float, wide: int) -> DataFrame:
     """Edges (a, b) that connect the nodes of ``candidates`` whose shingle sets have a Jaccard of ``similarity`` or more.
 
-    Only documents of a candidate component of two nodes or more have their shingles made again. Components are
-    packed by hash; a large pack is dealt into blocks and all pairs of blocks meet. A task compares its pairs within
-    ``wide`` of 256 bits by their exact shingle hashes, nearest first, and leaves out those that are connected already.
+    ``nodes`` names each node's document by doc_id and text_hash. Only documents of candidate components have their
+    shingles made again, once. Components are packed by hash, a large one in a pack of its own, and a large pack is
+    dealt into blocks. First each block compares its own rows and about PIVOTS rows of each component, which connects
+    dense groups; then only rows outside of their component's largest part meet the other blocks. Pairs within
+    ``wide`` of 256 bits are compared by their exact shingle hashes.
     """
     found = components(candidates)
     members = checkpointed(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
-    members = members.withColumn("pack", F.pmod(F.xxhash64("root"), F.lit(max(1, members.count() // PACK_ROWS))))
-    size = members.join(nodes.select("node", "n"), "node").groupBy("pack").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    of_root = members.groupBy("root").agg(F.count("*").alias("_rows"))
+    few = F.pmod(F.xxhash64("root"), F.lit(max(1, members.count() // PACK_ROWS)))
+    members = members.join(of_root, "root").withColumn("pack", F.when(F.col("_rows") > PACK_ROWS, F.xxhash64("root", F.lit(1))).otherwise(few))
+    members = members.join(nodes.select("node", "n", "doc_id", "text_hash"), "node")
+    size = members.groupBy("pack").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / CHECK_ROWS), F.ceil(F.col("shingles") / CHECK_SHINGLES)).cast("long")
-    members = checkpointed(members.join(size, "pack").select("node", "root", "pack", blocks.alias("blocks")))
-    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(members.withColumnRenamed("node", "doc_id"), "doc_id")
-    named = with_wide_fingerprint(named, words, seed, "root pack blocks", shingles=True).withColumnRenamed("doc_id", "node")
-    nameless = with_wide_fingerprint(docs.where("doc_id IS NULL"), words, seed, shingles=True)
-    nameless = nameless.withColumn("node", F.xxhash64("fp", "v1", "v2", "v3", "n")).dropDuplicates(["node"]).join(members, "node")
-    rows = named.unionByName(nameless.select(named.columns))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
-
-    def compared(key, group):  # no annotations: Spark would read them
-        col = {c: group.column(c).to_numpy() for c in ("node", "root", "own", "fp", "v1", "v2", "v3", "n")}
-        sets = [np.frombuffer(b, "<u8") for b in group.column("shingles").to_pylist()]
-        own, at = np.unique(col["node"], return_inverse=True)
-        low, high = key[1].as_py(), key[2].as_py()
-        homes, others, forest, pairs = np.flatnonzero(col["own"] == low), np.flatnonzero(col["own"] == high), Forest(len(own)), []
-        step = max(1, (1 << 20) // max(1, len(others)))
-        for k in range(0, len(homes), step):
-            i, j = np.nonzero(col["root"][homes[k : k + step], None] == col["root"][None, others])
-            i, j = homes[k + i], others[j]
-            small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
-            apart = sum(np.bitwise_count(col[c].view(np.uint64)[i] ^ col[c].view(np.uint64)[j]).astype(np.int32) for c in ("fp", "v1", "v2", "v3"))
-            good = (small >= similarity * large - 1e-9) & (apart <= wide) & ((i < j) | (low != high))
-            pairs.append(np.stack([apart[good], i[good], j[good]]))
-        apart, i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
-        order = np.argsort(apart, kind="stable")
-        i, j = i[order], j[order]
-        while len(i):
-            open_ = forest.root[at[i]] != forest.root[at[j]]
-            i, j = i[open_], j[open_]
-            x, y = i[:CHECK_PAIRS], j[:CHECK_PAIRS]
-            good = np.array([alike(sets[a], sets[b], similarity) for a, b in zip(x, y)], bool)
-            forest.join(at[x[good]], at[y[good]])
-            i, j = i[CHECK_PAIRS:], j[CHECK_PAIRS:]
-        moved = np.flatnonzero(forest.root != np.arange(len(own)))
-        return pa.table({"a": own[moved], "b": own[forest.root[moved]]})
-
-    return rows.groupBy("pack", "low", "high").applyInArrow(compared, "a long, b long")
+    members = members.join(size, "pack").select(
+        "node", "root", "pack", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(5)), blocks).alias("own"), (F.pmod(F.xxhash64("node", F.lit(9)), F.col("_rows")) < PIVOTS).cast("long").alias("pivot"),
+        F.col("doc_id").alias("__near_id"), F.col("text_hash").alias("__near_hash"),
+    )
+    members = checkpointed(members)
+    texts = docs.select("doc_id", "text", text_hash().alias("text_hash"))
+    named = texts.join(members, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("text_hash") == F.col("__near_hash")))
+    named = with_wide_fingerprint(named, words, seed, "node long, root long, pack long, blocks long, own long, pivot long", shingles=True)
+    rows = written(named.dropDuplicates(["node"]), "candidates")
+
+    def columns(group) -> tuple[dict, list[np.ndarray]]:
+        col = {c: group.column(c).to_numpy() for c in ("node", "root", "part", "n")}
+        col["bits"] = np.stack([group.column(c).to_numpy().view(np.uint64) for c in ("fp", "v1", "v2", "v3")], axis=1)
+        col["own"], col["at"] = np.unique(col["node"], return_inverse=True)
+        return col, [np.frombuffer(b, "<u8") for b in group.column("shingles").to_pylist()]
+
+    def edges(col: dict, forest: Forest) -> pa.Table:
+        moved = np.flatnonzero(forest.root != np.arange(len(forest.root)))
+        return pa.table({"a": col["own"][moved], "b": col["own"][forest.root[moved]]})
+
+    def in_block(key, group):  # no annotations: Spark would read them
+        col, sets = columns(group)
+        every = np.arange(len(sets))
+        return edges(col, compared(col, sets, every, every, True, similarity, wide))
+
+    def across(key, group):  # no annotations: Spark would read them
+        col, sets = columns(group)
+        homes = group.column("as_home").to_numpy()
+        return edges(col, compared(col, sets, np.flatnonzero(homes), np.flatnonzero(~homes), False, similarity, wide))
+
+    placed = rows.withColumn("block", F.explode(F.when(F.col("pivot") == 1, F.expr("sequence(0L, blocks - 1)")).otherwise(F.array("own")))).withColumn("part", F.col("node"))
+    first = written(placed.groupBy("pack", "block").applyInArrow(in_block, "a long, b long"), "links")
+    spread = rows.where("blocks > 1")
+    if spread.isEmpty():
+        return first
+    parts = components_marked(first, spread.select("node", F.col("root").alias("whole"), "pack"), "node").select("node", "whole", F.col("root").alias("part"))
+    largest = parts.groupBy("whole", "part").agg(F.count("*").alias("k")).groupBy("whole").agg(F.max_by("part", "k").alias("most"))
+    loose = checkpointed(parts.join(largest, "whole").select("node", "part", (F.col("part") != F.col("most")).alias("home")))
+    again = spread.join(loose, "node").select(F.col("node").alias("id"), "node", "root", "part", "home", "pack", "fp", "v1", "v2", "v3", "n", "shingles")
+    keys = ["pack"]
+    dealt = grid(again, keys, CHECK_ROWS, bucket_sizes(again, keys)).drop("home", "id")
+    return first.unionByName(dealt.groupBy(*keys, "hb", "mb").applyInArrow(across, "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` differing bits. Null and
-    empty texts have fingerprint zero and link like any other; repeated rows stay, each with its component;
-    null ids get their component's smallest id, null if it has none; an empty table gives no rows. Copies
-    collapse to one fingerprint before any comparison.
+    empty texts have fingerprint zero and link like any other; texts of any length are taken whole; repeated rows stay,
+    each with its component; rows of one id with other texts have a component each; null ids get their component's
+    smallest id, null if it has none; an empty table gives no rows. Copies collapse to one fingerprint before any
+    comparison.
     """
     marked = checkpointed(with_fingerprint(docs, words, seed))
-    fps = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("node"), "fp", *(F.lit(0).cast("long").alias(c) for c in ("v1", "v2", "v3", "n")), "least"))
+    fps = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("node"), "fp", "least"))
     rooted = components_marked(links(fps, radius), fps, "node")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = checkpointed(rooted.join(least, "root").select("fp", "component_id"))
@@ -220,24 +368,47 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 22, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates on distinct word shingles.
+def text_hash():
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, text_hash, times, first_id, first_hash): the distinct rows of ``docs`` (doc_id, text), how often each
+    occurs, and the row that stands for its group of near-duplicates.
 
     Two documents link if the exact Jaccard similarity of their shingles' 64-bit hashes is at least ``similarity``.
-    Candidates have 64-bit fingerprints within ``radius`` bits, shingle counts within ``similarity`` of one another,
-    and 256 bits within the distance that ``similarity`` is expected to give plus SPREAD standard deviations. At 0.8
-    the bounds lose a share of at most 0.001 of the pairs at the bound (sets of 4 and 5 shingles; 0.0001 of large
-    sets), far fewer above it. Documents whose 256 bits and shingle counts are equal count as copies. The row with the smallest doc_id of a
-    group stays; of rows that repeat an id, one. Rows without an id can't be named and stay, once for each text. Texts without words form one group. Other columns
-    pass through.
+    Candidates come from ``near_links``, which misses a share MISS of the pairs at the bound and next to none well
+    above it, and lie within the distance of 256 bits that ``similarity`` is expected to give plus SPREAD standard
+    deviations. Documents whose 256 bits and shingle counts are equal count as copies. A group is what links connect; the
+    row of the smallest doc_id stands for it, of equal ids that of the smallest hash; one without an id only where no
+    other has one. Texts without words form one group, null ones among them.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cosine) / np.pi)
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     wide = int(256 * share + SPREAD * (256 * share * (1 - share)) ** 0.5)
-    marked = checkpointed(with_wide_fingerprint(docs, words, seed))
+    marked = with_wide_fingerprint(docs.select("doc_id", "text", text_hash().alias("text_hash")), words, seed, "doc_id long, text_hash string")
     key = ["fp", "v1", "v2", "v3", "n"]
-    nodes = checkpointed(marked.groupBy(*key).agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce("least", F.xxhash64(*key))))
-    rooted = components_marked(verified_links(docs, nodes, links(nodes, radius, wide, similarity), words, seed, similarity, wide), nodes, "node")
-    keep = checkpointed(rooted.where("node = root AND least IS NOT NULL").select(F.col("least").alias("doc_id")))
-    kept = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]).select(docs.columns))
+    marked = written(marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in key)), "marked")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("least")
+    nodes = written(marked.groupBy(*key).agg(least).select(F.monotonically_increasing_id().alias("node"), *key, "least.doc_id", "least.text_hash"), "nodes")
+    candidates = checkpointed(near_links(nodes, similarity, wide, share))
+    rooted = components_marked(verified_links(docs, nodes, candidates, words, seed, similarity, wide), nodes, "node")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first"))
+    named = checkpointed(rooted.join(first, "root").select(*key, F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")))
+    return marked.join(named, key).select("doc_id", "text_hash", "times", "first_id", "first_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """``docs`` with one document of each group of ``near_duplicate_groups``.
+
+    Rows that repeat an id with another text are documents of their own; of rows that repeat both, one stays. Other
+    columns pass through, whatever their names. Null and empty texts are one group, texts of any length are taken whole, an
+    empty table gives no rows.
+    """
+    groups = checkpointed(near_duplicate_groups(docs, words, similarity, seed))
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    told = lambda rows: rows.select(F.col("doc_id").alias("__near_id"), F.col("text_hash").alias("__near_hash"))
+    own = docs.withColumn("__near_text", text_hash())
+    same = F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_text") == F.col("__near_hash"))
+    kept = own.join(told(groups.where(~first | (F.col("times") > 1))), same, "left_anti")
+    repeated = own.join(told(groups.where(first & (F.col("times") > 1))), same, "left_semi").dropDuplicates(["doc_id", "__near_text"])
+    return kept.unionByName(repeated).select(docs.columns)

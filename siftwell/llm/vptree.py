@@ -4,7 +4,8 @@ The number of differing bits below a mask is a pseudometric, so at a node with v
 threshold mu the triangle inequality holds: a partner of x within r bits below m lies inside (d_m(v, y) <= mu)
 only if d_m(v, x) <= mu + r and outside only if d_m(v, x) > mu - r. Of two fingerprints that differ in at
 most ``radius`` bits, one half of the bits differs in at most radius // 2; a tree is therefore built for each
-half, whose pairs lie within the narrow bound below that half and within ``radius`` below any other mask.
+half, whose pairs lie within the narrow bound below that half and within ``radius`` below any other mask. A tree
+without a half is one of whole keys.
 """
 
 from __future__ import annotations
@@ -31,15 +32,19 @@ def distance(a: np.ndarray, b, mask=FULL) -> np.ndarray:
     return np.bitwise_count((a ^ np.uint64(b)) & np.uint64(mask)).astype(np.int16)
 
 
+def bounds(half: int | None, radius: int) -> list[tuple[np.uint64, int]]:
+    """(mask, bits) within which partners lie: of a tree for a half, or of one for whole keys without a half."""
+    return [(FULL, radius)] if half is None else [(HALVES[half], radius // 2), (HALVES[1 - half], radius), (FULL, radius)]
+
+
 def split(homes: np.ndarray, half: int | None, radius: int, rng: np.random.Generator):
     """The cheapest of a few vantage points and masks as (mask, r, point, mu), None if no split helps.
 
-    Without a half, the whole radius holds below every mask. The cost of a split is the number of (home, member) comparisons that remain on both sides, as estimated on
+    The cost of a split is the number of (home, member) comparisons that remain on both sides, as estimated on
     ``homes``.
     """
     best, n = (0.9 * len(homes) ** 2, None), len(homes)
-    masks = [(HALVES[0], radius), (HALVES[1], radius)] if half is None else [(HALVES[half], radius // 2), (HALVES[1 - half], radius)]
-    for mask, r in (*masks, (FULL, radius)):
+    for mask, r in bounds(half, radius):
         for point in homes[rng.integers(0, n, 6)]:
             d = distance(homes, point, mask)
             mu = int(np.median(d))
@@ -65,21 +70,35 @@ def build(sample: np.ndarray, half: int | None, radius: int, leaves: int, seed:
     return grow(sample, max(0, int(np.ceil(np.log2(max(1, leaves))))))
 
 
-def route(tree: Node | int, fps: np.ndarray):
+def implied(leaf: int, half: int | None, radius: int, bits: int) -> Node:
+    """The split of a leaf beyond the fitted tree: a vantage point made from the leaf's number, at the middle distance.
+
+    A fitted tree has a bounded number of leaves. Where a table needs more, each leaf goes on by points that every
+    task can make alone; as far as fingerprints are even, they part a leaf about in the middle.
+    """
+    mask, r = bounds(half, radius)[0]
+    point = int(np.random.default_rng([leaf, 1 if half is None else 2 + half]).integers(0, 1 << 64, dtype=np.uint64)) & ((1 << bits) - 1 if half is None else int(FULL))
+    return Node(int(mask), r, point, (bits if half is None else 32) // 2, 2 * leaf + 1, 2 * leaf + 2)
+
+
+def route(tree: Node | int, fps: np.ndarray, more: int = 0, half: int | None = None, radius: int = 0, bits: int = 64):
     """Yields (leaf, indices of homes, indices of visitors): each fingerprint has one home leaf and visits
-    every other leaf in which the triangle bounds allow a partner."""
-    stack = [(tree, np.arange(len(fps)), np.arange(0))]
+    every other leaf in which the triangle bounds allow a partner. Each leaf is split ``more`` times again."""
+    stack = [(tree, 0, np.arange(len(fps)), np.arange(0))]
     while stack:
-        node, home, visit = stack.pop()
+        node, below, home, visit = stack.pop()
         if not len(home) and not len(visit):
             continue
         if not isinstance(node, Node):
-            yield node, home, visit
-            continue
+            if below >= more:
+                yield node, home, visit
+                continue
+            # Numbers of a leaf's parts: unique below it, and apart from those of other leaves.
+            node, below = implied(node if below else (node + 1) << 2, half, radius, bits), below + 1
         dh, dv = distance(fps[home], node.point, node.mask), distance(fps[visit], node.point, node.mask)
         near, r, mu = dh <= node.mu, node.radius, node.mu
-        stack.append((node.inside, home[near], np.concatenate([visit[dv <= mu + r], home[~near & (dh <= mu + r)]])))
-        stack.append((node.outside, home[~near], np.concatenate([visit[dv > mu - r], home[near & (dh > mu - r)]])))
+        stack.append((node.inside, below, home[near], np.concatenate([visit[dv <= mu + r], home[~near & (dh <= mu + r)]])))
+        stack.append((node.outside, below, home[~near], np.concatenate([visit[dv > mu - r], home[near & (dh > mu - r)]])))
 
 
 def pairs(homes: np.ndarray, members: np.ndarray, half: int | None, radius: int, seed: int = 0):

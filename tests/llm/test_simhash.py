@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from siftwell.llm import simhash, vptree
-from siftwell.llm.common import Forest, components
+from siftwell.llm.common import Forest, components, table
 from tests.llm.helpers import documents, empty, prose, rows
 
 
@@ -85,6 +85,57 @@ def test_near_copies_go_and_distinct_texts_stay(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*range(25), 300, None], key=str)
 
 
+def test_implied_splits_miss_no_pair():
+    rng = np.random.default_rng(2)
+    fps = np.unique(np.concatenate([base := rng.integers(0, 1 << 63, 2000, dtype=np.uint64), base[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64))]))
+    want = {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3)) if i < j}
+    got = set()
+    for half in (0, 1):
+        leaves = [(home, visit) for _, home, visit in vptree.route(vptree.build(fps[::9], half, 3, 8, seed=1), fps, 3, half, 3)]
+        assert sorted(np.concatenate([h for h, _ in leaves]).tolist()) == list(range(len(fps))) and len(leaves) > 32
+        for home, visit in leaves:
+            members = np.concatenate([home, visit])
+            for i, j in vptree.pairs(fps[home], fps[members], half, 3):
+                got |= {(min(a, b), max(a, b)) for a, b in zip(home[i], members[j]) if a != b}
+    assert got == want
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(2)
+    a, b = prose(rng, 60), prose(rng, 60)
+    data = [(7, a, "", "", 0), (7, b, "", "", 0), (7, a, "", "", 0), (9, a + " more", "", "", 0), (None, b, "", "", 0), (None, prose(rng, 30), "", "", 0)]
+    kept = simhash.drop_near_duplicates(documents(spark, data)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(7, a), (7, b), (None, data[5][1])], key=str)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_of_near_links_at_every_size(similarity):
+    # Pairs just at a similarity meet in a table as often as stated, with tables as for 10 ** 4 to 10 ** 9 documents.
+    rng = np.random.default_rng(1)
+    share = float(np.arccos(2 * 0.8 / 1.8) / np.pi)
+    shingles = 400
+    cut = int(np.ceil(similarity * shingles))
+    sets = [rng.integers(0, 1 << 63, shingles, dtype=np.uint64) for _ in range(400)]
+    words = lambda h: [simhash.majority(h), *(simhash.majority(simhash.mixed(h, m)) for m in simhash.MIXERS)]
+    a, b = (np.array([words(h[:k]) for h in sets], np.uint64) for k in (shingles, cut))
+    for n in (10**4, 10**6, 10**9):
+        bits, tables = simhash.key_tables(n, share)
+        picks = np.random.default_rng(4)
+        met = np.zeros(len(sets), bool)
+        for _ in range(tables):
+            at = np.sort(picks.permutation(256)[:bits])
+            met |= np.bitwise_count(simhash.key_of(a, at) ^ simhash.key_of(b, at)) <= 1
+        assert met.mean() >= 0.97, (n, bits, tables, met.mean())
+
+
+def test_query_equals_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in table(spark, d, "documents").collect()}
+    fps = [plain(t) for t in docs.values()]
+    want = {(k, f"{f:016x}", c) for k, f, c in zip(docs, fps, brute(fps, list(docs)))}
+    assert {tuple(r) for r in simhash.op4_simhash(spark, d).collect()} == want
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(3, 3), (None, 4)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
