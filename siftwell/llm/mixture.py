@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import checkpointed, table, written
 
-#: Parts that each source's order is dealt into, so that no task needs a whole source.
-PARTS = 1024
+#: Documents of a part of a source's order, so that no task needs a whole source.
+PART_ROWS = 100_000
+#: Pieces of time in which the sources' weights change.
+PIECES = 8
 #: Times that a source's words may be taken at most.
 REPEATS = 3.0
 
@@ -73,19 +75,27 @@ def position(offset: Column) -> Column:
     return F.when(F.col("target") > 0, F.coalesce(found, last["ends"]))
 
 
-def mix(docs: DataFrame, curriculum=None, repeats: float = REPEATS, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies, position) of each row of ``docs``.
+def row_hash(seed: int) -> Column:
+    """A seeded hash by which a source's documents are put in order: of the id, or of the text where there is none."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+
+
+def mix(docs: DataFrame, curriculum=None, repeats: float = REPEATS, seed: int = 7, named: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies, position) of each row of ``docs``, and name where ``named``.
 
     size is the number of words of the whole text (null: 0). ``curriculum`` is a DataFrame (key, begins, ends,
     weight), or a function from the sources' (key, source_size) to one; None weighs all sources alike. A source
     of target T and size S is taken T // S times whole, and the first T mod S words of its order once more: taken
     counts words, repeats included, and the order is by a seeded hash of doc_id, so reruns agree. copies are the
     passes that take a document whole or at least half. position is the time from 0 to 1 at which its first
-    pass begins. A null source is a source of its own; documents without words take nothing; repeated rows take
-    their own stretches; an empty table gives no rows. Other columns are ignored.
+    pass begins, the inverse of the source's integrated demand. A null source is a source of its own; null and empty
+    texts take nothing; a row without an id has its place by its text; ties of the hash go by id and size; repeated rows
+    take their own stretches; texts may be of any length; an empty table gives no rows. Other columns are ignored,
+    whatever their names.
     """
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    thin = written(docs.select("doc_id", "source", source_key().alias("key"), word_count(F.col("text")).alias("size"), h.alias("h"), F.pmod(h, F.lit(PARTS)).cast("int").alias("part")), "sizes")
+    h, name = row_hash(seed), F.lit(None).cast("string") if named is None else named
+    thin = written(docs.select("doc_id", "source", source_key().alias("key"), word_count(F.col("text")).alias("size"), h.alias("h"), name.alias("name")), "sizes")
+    thin = thin.withColumn("part", F.pmod("h", F.lit(max(1, thin.count() // PART_ROWS))).cast("int"))
     parts = checkpointed(thin.groupBy("key", "part").agg(F.sum("size").alias("words")))
     sizes = checkpointed(parts.groupBy("key").agg(F.sum("words").alias("source_size")))
     if curriculum is None:
@@ -103,29 +113,47 @@ def mix(docs: DataFrame, curriculum=None, repeats: float = REPEATS, seed: int =
     return dealt.select(
         "doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce(F.col("size") * whole + part, F.lit(0).cast("long")).alias("taken"),
         F.coalesce(whole + F.when((F.col("size") > 0) & (part * 2 >= F.col("size")), 1).otherwise(0), F.lit(0)).cast("int").alias("copies"), position(F.col("at")).alias("position"),
-        "share", "steps", "at",
+        "share", "steps", "at", "name",
     )
 
 
 def cycling_weights(sizes: DataFrame) -> DataFrame:
-    """Weights 1, 2, 3, repeating, for the sources in order of their keys; one row for each source in one task."""
-    rank = F.row_number().over(Window.orderBy("key"))
-    return sizes.select("key", F.lit(0.0).alias("begins"), F.lit(1.0).alias("ends"), ((rank - 1) % 3 + 1).cast("double").alias("weight"))
+    """Weights that change over PIECES of time and integrate to 1, 2, 3, repeating, for the sources in order of their keys.
+
+    Early on the first sources weigh more than that and the last ones less, later the other way round, in equal steps. Each
+    source's swing is its rank's distance from the weighted mean rank, so the weights of all sources add up to the
+    same at any time and each source's share of the words is that of its integral. One row for each source is ranked in
+    one task.
+    """
+    every = Window.partitionBy(F.lit(0))
+    ranked = sizes.select("key", F.row_number().over(Window.orderBy("key")).alias("rank"))
+    ranked = ranked.withColumn("mean_weight", ((F.col("rank") - 1) % 3 + 1).cast("double"))
+    place = (F.col("rank") - 1) / F.greatest(F.lit(1), F.max("rank").over(every) - 1)
+    swung = ranked.withColumn("place", place).withColumn("swing", F.sum(F.col("place") * F.col("mean_weight")).over(every) / F.sum("mean_weight").over(every) - F.col("place"))
+    pieces = swung.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    weight = F.col("mean_weight") * (1 + F.col("swing") * ((PIECES - 1) / PIECES - 2 * F.col("piece") / PIECES))
+    return pieces.select("key", (F.col("piece") / PIECES).alias("begins"), ((F.col("piece") + 1) / PIECES).alias("ends"), weight.alias("weight"))
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, then copies and position, of every document."""
-    return mix(table(spark, sf_dir, "documents"), cycling_weights).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    """doc_id, size, source_size, target, taken, then copies and position, of every document, range-sorted by position."""
+    found = mix(table(spark, sf_dir, "documents"), cycling_weights).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return found.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def arranged(docs: DataFrame, curriculum=cycling_weights, repeats: float = REPEATS) -> DataFrame:
     """``docs`` as the mixture takes them: each row once for each of its copies, range-sorted by training position.
 
-    Documents that no pass takes at least half of are left out. Rows are joined by doc_id; a repeated id takes
-    the copies of its first occurrence, a null one its own text's none.
+    Documents that no pass takes at least half of are left out. Rows are known by id, source and text, so those without an
+    id or with a repeated one are taken like any other; of rows that repeat all three, one stands for all their copies.
+    Null and empty texts take no words and are left out; an empty table gives no rows; other columns pass through.
     """
-    picked = mix(docs, curriculum, repeats).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("target", "share", "steps", "source_size")))
-    passes = picked.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("pass"), "at", "target", "share", "steps", "source_size")
-    timed = passes.select(F.col("doc_id").alias("__mix_doc"), position(F.col("at") + F.col("pass") * F.col("source_size")).alias("__mix_position"), F.col("pass").alias("__mix_pass"))
-    joined = docs.join(timed, F.col("doc_id") == F.col("__mix_doc"))
-    return joined.repartitionByRange("__mix_position", "__mix_doc").sortWithinPartitions("__mix_position", "__mix_doc", "__mix_pass").select(docs.columns)
+    told = F.sha2(F.to_json(F.struct("doc_id", "source", "text")), 256)
+    picked = mix(docs, curriculum, repeats, named=told).where("copies > 0")
+    passes = picked.select("name", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("pass"), "at", "target", "share", "steps", "source_size")
+    timed = written(passes.select(F.col("name").alias("__mix_name"), position(F.col("at") + F.col("pass") * F.col("source_size")).alias("__mix_position"), F.col("pass").alias("__mix_pass")), "passes")
+    known = docs.withColumn("__mix_own", told)
+    if not timed.groupBy("__mix_name", "__mix_pass").count().where("count > 1").isEmpty():
+        known = known.dropDuplicates(["__mix_own"])
+    joined = known.join(timed, F.col("__mix_own") == F.col("__mix_name"))
+    return joined.repartitionByRange("__mix_position", "__mix_name").sortWithinPartitions("__mix_position", "__mix_name", "__mix_pass").select(docs.columns)

@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import release, shared_dir, table, union_all, written
+from siftwell.llm.common import shared_dir, shuffle_files_removed, table, union_all, written
 
 #: The tokenizer's vocabulary file, the pattern that goes with it, and the id that ends each document.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END = 50256
 #: Tokens of a sequence and sequences of a shard; ids have two bytes, little-endian.
 LENGTH, SHARD = 1024, 512
+#: Sequences of a window of training order, and shards that a task writes at least where there are many.
+WINDOW, TASK_SHARDS = 8_192, 16
 #: Passes that the shards are written in, each over a range of slots, so that only a part of the tokens is shuffled at once.
 WAVES = 2
 #: Tasks up to which the places of their tokens are broadcast, 16 bytes each.
@@ -66,6 +68,25 @@ class Permutation:
         return y.astype(np.int64)
 
 
+@dataclass(frozen=True)
+class Order:
+    """The slot of each of n sequences: permuted within windows of ``window`` sequences, or all together without one.
+
+    A window keeps a sequence near its place in the training order, whatever its length by position.
+    """
+
+    n: int
+    window: int | None = None
+    key: int = KEY
+
+    def __call__(self, sequences: np.ndarray) -> np.ndarray:
+        size, slots = self.window or self.n, np.array(sequences, np.int64)
+        for w in np.unique(slots // size).tolist():
+            own = np.asarray(sequences) // size == w
+            slots[own] = w * size + Permutation(min(size, self.n - w * size), self.key + (w << 16))(slots[own] - w * size)
+        return slots
+
+
 def encoder(ranks: dict[bytes, int]):
     import tiktoken
 
@@ -77,37 +98,66 @@ def read_ranks(vocabulary: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def in_order(docs: DataFrame, files: bool) -> DataFrame:
+    """(doc_id, text, file, row) of ``docs``: by the rows' places in their Parquet files, or sorted by doc_id and text.
+
+    Places in files cost no shuffle and are the same however Spark splits the files. Sorted rows have a null place and are
+    in order of their partitions.
+    """
+    if files:
+        return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = [F.lit(None).cast(kind).alias(c) for c, kind in (("file", "string"), ("row", "long"))]
+    return docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("doc_id", "text", *place)
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(part, at, n, doc_ids, sizes, tokens) as a written table: blocks of documents' ids and end marks, compressed.
+    """(file, part, at, n, doc_ids, sizes, tokens) as a written table: blocks of documents' ids and end marks, compressed.
 
-    part and at tell a block's place among the tokens of the task that encoded it. Null and empty texts give the
-    end mark alone.
+    ``docs`` are rows of ``in_order``. Rows that follow one another in a file and in a task are a part, named by its first
+    row, or by the task where rows have no place; at is a block's place among a part's tokens. Null and empty texts give
+    the end mark alone.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))  # a vocabulary, whatever the corpus
+    kinds = {"file": pa.string(), "part": pa.int64(), "at": pa.int64(), "n": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "tokens": pa.binary()}
 
     def run(batches):
         import zstandard
         from pyspark import TaskContext
 
-        own, pack, part, at = encoder(ranks.value), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        own, pack, task = encoder(ranks.value), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        part = last = at = None
         for whole in batches:
-            for k in range(0, whole.num_rows, BLOCK_DOCS):
-                batch = whole.slice(k, BLOCK_DOCS)
+            rows = whole.column(3).to_numpy(zero_copy_only=False)
+            files = whole.column(2).to_pylist()
+            k = 0
+            while k < whole.num_rows:
+                placed = files[k] is not None
+                if part is None or placed and (files[k], rows[k]) != last:
+                    part, at = (files[k], int(rows[k])) if placed else ("", task), 0
+                end = k + 1
+                while end < whole.num_rows and end - k < BLOCK_DOCS and (not placed or files[end] == files[k] and rows[end] == rows[end - 1] + 1):
+                    end += 1
+                batch = whole.slice(k, end - k)
                 ids = [np.append(own.encode_to_numpy(text or "", disallowed_special=()), END).astype(DTYPE) for text in batch.column(1).to_pylist()]
                 sizes = [len(x) for x in ids]
-                n = sum(sizes)
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-                row = (part, at, n, batch.column(0).to_pylist(), sizes, pack.compress(np.concatenate(ids).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["part", "at", "n", "doc_ids", "sizes", "tokens"])
-                at += n
+                row = (*part, at, sum(sizes), batch.column(0).to_pylist(), sizes, pack.compress(np.concatenate(ids).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds.values())], list(kinds))
+                at += sum(sizes)
+                last = (files[k], rows[end - 1] + 1) if placed else None
+                k = end
+
+    schema = "file string, part long, at long, n long, doc_ids array<long>, sizes array<long>, tokens binary"
+    return written(docs.select("doc_id", "text", "file", "row").mapInArrow(run, schema), "tokens")
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "part int, at long, n long, doc_ids array<long>, sizes array<long>, tokens binary"), "tokens")
 
+def pieces(tokens: DataFrame, length: int, shard: int, order: Order, slots_from: int, slots_to: int) -> DataFrame:
+    """(shard, slot, begins, doc_ids, tokens): each block's stretch of every sequence in the range of slots.
 
-def pieces(tokens: DataFrame, length: int, shard: int, order: Permutation, slots_from: int, slots_to: int) -> DataFrame:
-    """(shard, slot, begins, doc_ids, tokens): each block's stretch of every sequence in the range of slots."""
-    ends = tokens.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("size"))
-    bases = ends.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))  # a row for each task
+    Parts follow one another by the numbers in the names of Spark's files, then by names and rows.
+    """
+    ends = tokens.groupBy("file", "part").agg(F.max(F.col("at") + F.col("n")).alias("size"))
+    number = F.regexp_extract("file", r"/part-([0-9]+)[^/]*$", 1).try_cast("long")
+    bases = ends.select("file", "part", (F.sum("size").over(Window.orderBy(number, "file", "part")) - F.col("size")).alias("base"))  # a row for each task
 
     def run(batches):
         import zstandard
@@ -138,28 +188,32 @@ def pieces(tokens: DataFrame, length: int, shard: int, order: Permutation, slots
 
     # A broadcast keeps the tokens where they are; with more tasks than that both sides are shuffled.
     bases = F.broadcast(bases) if ends.count() <= BROADCAST_ROWS else bases
-    placed = tokens.join(bases, "part").select((F.col("base") + F.col("at")).alias("at"), "n", "doc_ids", "sizes", "tokens")
+    placed = tokens.join(bases, ["file", "part"]).select((F.col("base") + F.col("at")).alias("at"), "n", "doc_ids", "sizes", "tokens")
     return placed.mapInArrow(run, "shard long, slot long, begins int, doc_ids array<long>, tokens binary")
 
 
-def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, vocabulary: str = VOCABULARY, window: int | None = None, files: bool = False) -> DataFrame:
     """Writes the shards below ``path`` and returns their sequences: (slot, shard, byte_at, n_tokens, doc_ids, sha1).
 
-    The documents' tokens, each ended by END, run on end to end and are cut into sequences of ``length``; the
-    last one is filled up with END. Sequence i goes to slot P(i) of a keyed permutation P; shard k holds the slots
-    from k * shard on, each at a fixed stride of 2 * length bytes, so slot s is byte range (s mod shard) * stride
-    of shard s // shard and training reads forward and resumes at any slot. Parts of a shard are written under
-    a name of the attempt and renamed, so a task run again leaves the same files. n_tokens counts the tokens
-    before the fill. An empty table writes nothing and gives no rows; repeated rows are encoded again; other
-    columns are ignored. Slots are written in WAVES passes one after the other, each shuffling its share only.
+    The documents' tokens, each ended by END, run on end to end in the documents' order and are cut into sequences of
+    ``length``; the last one is filled up with END. The order is that of the rows in their files with ``files``, for
+    tables straight from Parquet files, else by doc_id and text; so runs with other partitions give the same shards.
+    Sequence i goes to slot P(i) of a keyed permutation P of all sequences, or of each ``window`` of them in turn, where
+    documents stand in training order. Shard k holds the slots from k * shard on, each at a fixed stride of 2 * length
+    bytes, so slot s is byte range (s mod shard) * stride of shard s // shard and training reads forward and resumes at
+    any slot. Tasks hold ranges of shards. Parts of a shard are written under a name of the attempt and renamed, so a
+    task run again leaves the same files. n_tokens counts the tokens before the fill. Null and empty texts are an end
+    mark; texts may be of any length; an empty table writes nothing and gives no rows; repeated rows are encoded
+    again; other columns are ignored, whatever their names. Slots are written in WAVES passes, each shuffling its
+    share only, and the shuffle files of a pass go when it ends.
     """
     spark = docs.sparkSession
-    tokens = encoded(docs, vocabulary)
+    tokens = encoded(in_order(docs, files), vocabulary)
     total = tokens.agg(F.sum("n")).first()[0] or 0
     schema = "slot long, shard long, byte_at long, n_tokens int, doc_ids array<long>, sha1 string"
     if not total:
         return spark.createDataFrame([], schema)
-    order = Permutation(-(-total // length), key)
+    order = Order(-(-total // length), window, key)
     shards = -(-order.n // shard)
 
     def write(batches):
@@ -214,11 +268,11 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard: int =
         if first == last:
             continue
         placed = pieces(tokens, length, shard, order, first * shard, last * shard)
-        dealt = placed.repartition(min(last - first, 1 << 16), "shard").sortWithinPartitions("shard", "slot", "begins")
-        done.append(written(dealt.mapInArrow(write, schema), "sequences"))
-        del placed, dealt
-        if wave + 1 < WAVES:
-            release(spark)
+        parts = min(last - first, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(last - first) // TASK_SHARDS)), 1 << 16)
+        own = F.floor((F.col("shard") - first) * parts / (last - first)).cast("int")
+        dealt = placed.repartitionById(parts, own).sortWithinPartitions("slot", "begins")
+        with shuffle_files_removed(spark):
+            done.append(written(dealt.mapInArrow(write, schema), "sequences"))
     return union_all(done)
 
 
@@ -238,4 +292,4 @@ def read_slots(path: str, first: int, number: int, length: int = LENGTH, shard:
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence of the shards of all documents: slot, shard, byte_at, n_tokens, doc_ids, sha1."""
-    return write_shards(table(spark, sf_dir, "documents"), shared_dir(spark, "shards"))
+    return write_shards(table(spark, sf_dir, "documents"), shared_dir(spark, "shards"), files=True)

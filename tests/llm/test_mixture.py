@@ -3,6 +3,8 @@ import re
 from pyspark.sql import functions as F
 
 from siftwell.llm import mixture as m
+from siftwell.llm.common import table
+from tests.llm import helpers
 from tests.llm.helpers import documents, empty, prose, rows
 import random
 
@@ -62,11 +64,50 @@ def test_curriculum_inverts_demand(spark):
 
 def test_arranged_repeats_and_orders(spark):
     data, df = many(spark)
+    df = df.unionByName(documents(spark, [(3, "another text of the id three", "en", "a", 0), (None, "a second one without an id", "en", "b", 0)]))
     out = m.arranged(df)
     assert out.columns == df.columns
-    copies = {r.doc_id: r.copies for r in m.mix(df, m.cycling_weights).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")).collect() if r.doc_id is not None}
+    copies = {r.doc_id: r.copies for r in m.mix(df, m.cycling_weights).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies")).collect()}
     got = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
-    assert {k: v for k, v in got.items() if k != 3} == {k: v for k, v in copies.items() if k != 3}
+    assert got == copies and None in got and got[3] >= 2
+
+
+def test_weights_change_over_time_and_integrate(spark):
+    for n in (1, 2, 3, 7):
+        rows = m.cycling_weights(spark.createDataFrame([(f"0{k}", 10) for k in range(n)], "key string, source_size long")).collect()
+        area, at = {}, {}
+        for r in rows:
+            assert r.weight > 0
+            area[r.key] = area.get(r.key, 0) + r.weight * (r.ends - r.begins)
+            at[r.begins] = at.get(r.begins, 0) + r.weight
+        assert all(abs(area[f"0{k}"] - (k % 3 + 1)) < 1e-9 for k in range(n)) and max(at.values()) - min(at.values()) < 1e-9
+        assert n == 1 or len({round(r.weight, 9) for r in rows if r.key == "00"}) == m.PIECES
+
+
+def test_early_positions_hold_more_of_the_first_sources(spark):
+    docs = spark.createDataFrame([(k, "w " * 10, "ab"[k % 2]) for k in range(2000)], "doc_id long, text string, source string")
+    first = m.mix(docs, m.cycling_weights).where("source = 'a' AND copies > 0").agg(F.avg((F.col("position") < 0.5).cast("int"))).first()[0]
+    assert abs(first - (0.5 + 2 / 3 * 0.25)) < 0.02  # the integral of the first half
+
+
+def test_query_is_whole_native_and_sorted(spark):
+    d = "/root/testdata/sf0.01"
+    out = m.op7_mixture(spark, d)
+    assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
+    got, docs = out.collect(), {r.doc_id: r for r in table(spark, d, "documents").collect()}
+    assert [r.position for r in got] == sorted((r.position for r in got), key=lambda p: (p is not None, p)) and {r.doc_id for r in got} == set(docs)
+    taken, of = {}, {}
+    for r in got:
+        source = docs[r.doc_id].source
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id].text or "")) and r.taken <= 3 * r["size"]
+        taken[source], of[source] = taken.get(source, 0) + r.taken, r
+    want = brute_targets({s: r.source_size for s, r in of.items()}, {s: k % 3 + 1 for k, s in enumerate(sorted(of, key=lambda s: (s is None, s or "")))})
+    assert all(abs(taken[s] - want[s]) <= 1 and abs(of[s].target - want[s]) < 1e-6 * want[s] for s in of)
+
+
+def test_arranged_of_empty_and_blank_tables(spark):
+    assert m.arranged(empty(spark)).count() == 0
+    assert m.arranged(spark.createDataFrame([(1, None, "en", None, 0), (None, "", "en", "a", 0)], helpers.SCHEMA)).count() == 0
 
 
 def test_empty_tables(spark):
