@@ -6,7 +6,7 @@ import hashlib
 import ipaddress
 import re
 import struct
-from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -54,13 +54,41 @@ def siphash13(data: bytes, k0: int = KEY0, k1: int = KEY1) -> int:
     return v[0] ^ v[1] ^ v[2] ^ v[3]
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def siphash13_many(data: list[bytes], k0: int = KEY0, k1: int = KEY1) -> np.ndarray:
+    """``siphash13`` of many byte strings at once, as unsigned words: all of one number of blocks together."""
+    out, blocks = np.zeros(len(data), np.uint64), np.array([len(d) // 8 + 1 for d in data], np.int64)
+    turn = lambda x, by: x << np.uint64(by) | x >> np.uint64(64 - by)
 
+    def rounds(v: list[np.ndarray], n: int) -> None:
+        for _ in range(n):
+            v[0] = v[0] + v[1]
+            v[1] = turn(v[1], 13) ^ v[0]
+            v[0] = turn(v[0], 32)
+            v[2] = v[2] + v[3]
+            v[3] = turn(v[3], 16) ^ v[2]
+            v[0] = v[0] + v[3]
+            v[3] = turn(v[3], 21) ^ v[0]
+            v[2] = v[2] + v[1]
+            v[1] = turn(v[1], 17) ^ v[2]
+            v[2] = turn(v[2], 32)
+
+    for n in np.unique(blocks).tolist():
+        at = np.flatnonzero(blocks == n)
+        padded = b"".join(data[k].ljust(8 * n - 1, b"\0") + bytes([len(data[k]) & 255]) for k in at)
+        m = np.frombuffer(padded, "<u8").reshape(-1, n)
+        v = [np.full(len(at), x, np.uint64) for x in (k0 ^ 0x736F6D6570736575, k1 ^ 0x646F72616E646F6D, k0 ^ 0x6C7967656E657261, k1 ^ 0x7465646279746573)]
+        for k in range(n):
+            v[3] = v[3] ^ m[:, k]
+            rounds(v, 1)
+            v[0] = v[0] ^ m[:, k]
+        v[2] = v[2] ^ np.uint64(255)
+        rounds(v, 3)
+        out[at] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    return out
 
-@lru_cache(maxsize=200_000)
-def sip_word(word: str) -> int:
-    return siphash13(word.encode() + b"\xff")  # strings are ended by the byte FF
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def simhash(text: str | None, kind: str) -> int:
@@ -73,7 +101,7 @@ def simhash(text: str | None, kind: str) -> int:
     if not parts:
         return 0
     if kind == "sip":
-        h = np.array([sip_word(p) for p in parts], np.uint64)
+        h = siphash13_many([p.encode() + b"\xff" for p in parts])  # strings are ended by the byte FF
     else:
         h = np.frombuffer(b"".join(hashlib.md5(p.encode()).digest()[:8] for p in parts), ">u8").astype("<u8") >> np.uint64(4)
     count = np.zeros(64, np.int64)
@@ -96,27 +124,48 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+
+
 def ipv4_key(ip: Column) -> Column:
     """The first three octets of a strict dotted quad as text, else null."""
-    octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    return F.nullif(F.regexp_extract(ip, rf"^({octet}\.{octet}\.{octet})\.{octet}$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(ip, rf"^({OCTET}\.{OCTET}\.{OCTET})\.{OCTET}$", 1), F.lit(""))
+
+
+def ipv6_key(ip: Column) -> Column:
+    """The first three groups of an IPv6 address as lower-case text without leading zeros, else null.
+
+    "::" stands for one group of zeros or more, once; the last two groups may be a dotted quad, zones aren't allowed.
+    """
+    plain = F.regexp_replace(ip, rf"(?<=:){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$", "0:0")
+    groups = lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+    halves = F.split(plain, "::", -1)
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    n, short = F.size(left) + F.size(right), F.size(halves) == 2
+    sound = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & F.when(short, n <= 7).otherwise((F.size(halves) == 1) & (n == 8))
+    whole = F.concat(left, F.when(short & (n < 8), F.array_repeat(F.lit("0"), 8 - n)).otherwise(F.array().cast("array<string>")), right)
+    return F.when(sound, F.array_join(F.transform(F.slice(whole, 1, 3), lambda g: F.lower(F.regexp_replace(g, "^0+(?=.)", ""))), ":"))
+
+
+def ip_key(ip: Column) -> Column:
+    """An address's network as text: three octets or three groups, null of anything else."""
+    return F.coalesce(ipv4_key(ip), ipv6_key(ip))
 
 
 @F.pandas_udf(LongType())
 def ip_bucket(ips: pd.Series) -> pd.Series:
     """The hash of an address's network, /24 or /48; null of anything else."""
-
-    @lru_cache(maxsize=100_000)
-    def one(ip: str | None):
+    parts: dict[str, bytes] = {}
+    for ip in set(ips.dropna()):
         try:
             own = ipaddress.ip_address(ip)
         except ValueError:
-            return None
-        # Three octets or three little-endian words, after their number.
-        parts = own.packed[:3] if own.version == 4 else b"".join(own.packed[k : k + 2][::-1] for k in (0, 2, 4))
-        return signed(siphash13(struct.pack("<Q", 3) + parts))
-
-    return ips.map(lambda x: one(x) if isinstance(x, str) else None).astype("Int64")
+            continue
+        if getattr(own, "scope_id", None) is None:
+            # Three octets or three little-endian words, after their number.
+            parts[ip] = struct.pack("<Q", 3) + (own.packed[:3] if own.version == 4 else b"".join(own.packed[k : k + 2][::-1] for k in (0, 2, 4)))
+    hashes = dict(zip(parts, siphash13_many(list(parts.values())).view(np.int64).tolist()))
+    return ips.map(hashes.get).astype("Int64")
 
 
 def network_key(secret: bytes) -> tuple[int, int]:
@@ -127,6 +176,18 @@ def network_fingerprint(fp: int, secret: bytes) -> int:
     return siphash13(struct.pack("<q", fp), *network_key(secret))
 
 
+def network_fp_sip(fp: Column, secret: str) -> Column:
+    """The keyed fingerprint: ``network_fingerprint`` of each value as a signed long. Equal fingerprints meet, near ones don't."""
+    keys = network_key(secret.encode())
+
+    @F.pandas_udf(LongType())
+    def keyed(fps: pd.Series) -> pd.Series:
+        known = fps.dropna().astype("int64")
+        return pd.Series(siphash13_many([struct.pack("<q", x) for x in known], *keys).view(np.int64), known.index, dtype="Int64").reindex(fps.index)
+
+    return keyed(fp)
+
+
 def network_fp_sha(fp: Column, secret: str) -> Column:
     """A keyed fingerprint by native functions: 64 bits of SHA-256 over the secret and the fingerprint."""
     return F.substring(F.sha2(F.concat_ws(":", F.lit(secret), fp.cast("string")), 256), 1, 16)
@@ -136,22 +197,25 @@ def tenant_id(name: Column) -> Column:
     return F.substring(F.sha2(name, 256), 1, 32)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: int = 3, bits: int = 64) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius: int = 3, bits: int = 64, parts: int | None = None) -> DataFrame:
     """(l, r, distance) of the fingerprints of ``left`` (column l) and ``right`` (column r) within ``radius`` bits.
 
-    Of radius + 1 bands at least one is equal, so an equi-join on the bands finds every pair; the distance then
-    decides. Both sides' fingerprints should be distinct, so copies meet once.
+    Of ``parts`` stretches of bits all but radius are equal in every pair, so an equi-join on each choice of so many
+    stretches finds every pair; the distance then decides. With radius + 1 parts a fingerprint has radius + 1 short
+    keys; with more parts it has more and longer ones, which few others share by chance, so large tables want them:
+    by default, from 2 ** 18 fingerprints on the right, radius + 3. Both sides' fingerprints should be distinct, so copies
+    meet once.
     """
-    width = -(-bits // (radius + 1))
-    bands = lambda c: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(c, k * width).bitwiseAND((1 << width) - 1).alias("v")) for k in range(radius + 1))))
-    a = left.select("l", bands(F.col("l")).alias("band")).select("l", "band.k", "band.v")
-    b = right.select("r", bands(F.col("r")).alias("band")).select("r", F.col("band.k").alias("k2"), F.col("band.v").alias("v2"))
+    if parts is None:
+        parts = radius + 1 if right.count() < 1 << 18 else radius + 3
+    width = -(-bits // parts)
+    mask = (1 << width) - 1
+    chosen = [sum(mask << k * width for k in pick) & FULL for pick in combinations(range(parts), parts - radius)]
+    masks = [F.lit(signed(m)) for m in chosen]
+    keys = lambda c: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c.bitwiseAND(m).alias("v")) for k, m in enumerate(masks))))
+    a = left.select("l", keys(F.col("l")).alias("key")).select("l", "key.k", "key.v")
+    b = right.select("r", keys(F.col("r")).alias("key")).select("r", F.col("key.k").alias("k2"), F.col("key.v").alias("v2"))
     met = a.join(b, (F.col("k") == F.col("k2")) & (F.col("v") == F.col("v2")))
-    same = lambda k: F.shiftrightunsigned(F.col("l").bitwiseXOR(F.col("r")), k * width).bitwiseAND((1 << width) - 1) == 0
-    first = F.lit(False)
-    for k in range(radius + 1):  # a pair counts in its first equal band only, which spares a distinct
-        before = F.lit(True)
-        for j in range(k):
-            before = before & ~same(j)
-        first = first | ((F.col("k") == k) & before)
-    return met.where(first).withColumn("distance", hamming(F.col("l"), F.col("r"))).where(F.col("distance") <= radius).select("l", "r", "distance")
+    # A pair counts in the first of its equal keys only, which spares a distinct.
+    first = F.array_position(F.array(*(F.col("l").bitwiseXOR(F.col("r")).bitwiseAND(m) == 0 for m in masks)), F.lit(True)) == F.col("k") + 1
+    return met.where(hamming(F.col("l"), F.col("r")) <= radius).where(first).withColumn("distance", hamming(F.col("l"), F.col("r"))).select("l", "r", "distance")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 
@@ -28,3 +29,35 @@ class Config:
 
 
 DEFAULT = Config()
+
+
+@dataclass(frozen=True)
+class Mode:
+    """How the engine runs: local stores alone, or hosted for tenants with a network store, its secret and their keys."""
+
+    hosted: bool
+    stores: str
+    network: str | None = None
+    secret: str | None = None
+    keys: str | None = None
+    per_minute: int = 600
+
+
+def mode_of(settings: Mapping[str, str]) -> Mode:
+    """The mode of settings (mode, stores, network, secret, keys, rate_limit_per_minute), as from an environment.
+
+    mode is "local", "self-hosted" (the same) or "hosted"; hosted needs secret and keys. Raises on another mode, a missing
+    value or a limit that isn't a positive integer.
+    """
+    mode, stores = settings.get("mode", "local"), settings.get("stores", "stores")
+    if mode in ("local", "self-hosted"):
+        return Mode(False, stores)
+    if mode != "hosted":
+        raise ValueError(f"unsupported mode {mode!r}")
+    for name in ("secret", "keys"):
+        if not settings.get(name):
+            raise ValueError(f"the hosted mode needs {name}")
+    limit = settings.get("rate_limit_per_minute", "600")
+    if not limit.isascii() or not limit.isdigit() or not int(limit):
+        raise ValueError("rate_limit_per_minute must be a positive integer")
+    return Mode(True, stores, settings.get("network", f"{stores}-network"), settings["secret"], settings["keys"], int(limit))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: tenants below which a fingerprint has no score.
 QUORUM = 3
+#: Fixed value: what a counter of votes holds at most.
+MOST = (1 << 32) - 1
 #: Fixed value: the least bytes of a network secret.
 SECRET_BYTES = 32
 
@@ -23,8 +25,10 @@ def latest(votes: DataFrame) -> DataFrame:
 
 
 def aggregates(votes: DataFrame) -> DataFrame:
-    """(fp, spam, ham, packed) of the latest votes; packed holds spam in the upper 32 bits."""
+    """(fp, spam, ham, packed) of the latest votes; packed holds spam in the upper 32 bits. Raises where a count needs more."""
     n = latest(votes).groupBy("fp").agg(F.count_if(F.col("verdict") == "spam").alias("spam"), F.count_if(F.col("verdict") == "ham").alias("ham"))
+    full = F.raise_error(F.lit("a fingerprint has more votes than its counter holds")).cast("long")
+    n = n.withColumns({c: F.when(F.col(c) <= MOST, F.col(c)).otherwise(full) for c in ("spam", "ham")})
     return n.withColumn("packed", F.shiftleft(F.col("spam").cast("long"), 32).bitwiseOR(F.col("ham").cast("long")))
 
 
@@ -43,5 +47,10 @@ def receipts(votes: DataFrame) -> DataFrame:
     return marked.select("seq", "changed", F.sum((F.col("nth") == 1).cast("long")).over(upto).alias("distinct_tenants"))
 
 
+def unpacked(tallies: DataFrame) -> DataFrame:
+    """(fp, spam, ham) of stored counts (fp, packed)."""
+    return tallies.select("fp", F.shiftrightunsigned("packed", 32).alias("spam"), F.col("packed").bitwiseAND(MOST).alias("ham"))
+
+
 def unknown_verdicts(votes: DataFrame) -> DataFrame:
     return votes.where(~F.coalesce(F.col("verdict").isin("spam", "ham"), F.lit(False)))

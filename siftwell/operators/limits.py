@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Least bytes of a key, items of a batch, bytes of a feedback text and of a tool's text, lengths of fields.
 KEY_BYTES, BATCH_ITEMS, FEEDBACK_BYTES, TOOL_BYTES = 32, 1000, 65_536, 65_536
+#: Fixed value: requests of a tenant in a minute where nothing else is set.
+PER_MINUTE = 600
 IP_UNITS, EMAIL_UNITS, NAME_UNITS = 45, 320, 256
 
 
@@ -25,6 +27,18 @@ def credential_errors(rows: DataFrame) -> DataFrame:
     return marked.select("row", error.alias("error"))
 
 
+def check_credentials(rows: DataFrame, per_minute: int = PER_MINUTE) -> DataFrame:
+    """``rows`` (row, tenant, api_key) if there is one at least, none has a fault, and the limit is positive; else raises."""
+    if per_minute < 1:
+        raise ValueError("the limit must be positive")
+    if rows.isEmpty():
+        raise ValueError("no credentials")
+    fault = credential_errors(rows).where("error IS NOT NULL").orderBy("row").first()
+    if fault:
+        raise ValueError(f"credential {fault.row}: {fault.error}")
+    return rows
+
+
 def bearer_token(headers: Column) -> Column:
     """The token of an array of Authorization values: exactly one value of two words, the first "bearer" in any case."""
     parts = F.filter(F.split(F.get(headers, F.lit(0)), r"[ \t\n\f\r]+"), lambda p: p != "")

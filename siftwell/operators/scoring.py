@@ -10,15 +10,27 @@ from pyspark.sql import functions as F
 from siftwell.functions import fingerprint as fp
 from siftwell.functions.text import email_domain, with_features
 from siftwell.operators.config import DEFAULT, Config
+from siftwell.sources.sinks import staged
 
 #: The hand-set classifier's bias and weights.
 SPAM_BIAS, SPAM_LINK, SPAM_UPPER, SPAM_MONOTONE = -1.5, 4.0, 1.5, 2.0
 SLOP_BIAS, SLOP_MONOTONE, SLOP_EVEN, SLOP_ENTROPY, EVEN_LENGTH = -1.0, -1.0, 0.8, 0.25, 5.0
 
 
+#: All reason codes in the order in which they are told.
+REASONS = (
+    "high_link_ratio", "excessive_capitalization", "low_lexical_diversity", "ip_reputation_bad", "disposable_email_domain", "email_domain_reputation_bad", "content_fingerprint_seen_spam",
+    "ai_stylometry_high",
+)
+
+
 @dataclass(frozen=True)
 class Stores:
-    """Reputation tables: disposable (domain), ips (key, score), domains (domain, score), fingerprints (fp, score)."""
+    """Reputation tables: disposable (domain), ips (key, score), domains (domain, score), fingerprints (fp, score).
+
+    ``kind`` is the hash of the stored fingerprints, sip or md5. ``network`` (fp, score) has scores of many tenants on
+    fingerprints keyed by ``secret``, as votes are stored: the largest of the own and the network's score counts.
+    """
 
     disposable: DataFrame
     ips: DataFrame
@@ -26,6 +38,9 @@ class Stores:
     fingerprints: DataFrame
     suffixes: bool = True
     exact_first: bool = True
+    kind: str = "md5"
+    network: DataFrame | None = None
+    secret: str | None = None
 
 
 def fired(when: Column, weight) -> Column:
@@ -80,10 +95,10 @@ def disposable(domains: DataFrame, store: DataFrame, suffixes: bool = True) -> D
 def fingerprint_scores(fps: DataFrame, store: DataFrame, exact_first: bool = True, radius: int = 3) -> DataFrame:
     """(fp, fp_score): the largest score within ``radius`` bits; an exact hit's own where ``exact_first``.
 
-    Works on distinct fingerprints; only those without an exact hit meet the near-join then.
+    Works on distinct fingerprints, each computed once; only those without an exact hit meet the near-join then.
     """
-    own = fps.where("fp IS NOT NULL").select("fp").distinct()
-    known = store.groupBy("fp").agg(F.max("score").alias("fp_score"))
+    own = staged(fps.where("fp IS NOT NULL").select("fp").distinct(), "fingerprints")
+    known = staged(store.groupBy("fp").agg(F.max("score").alias("fp_score")), "known")
     near = lambda rows: (
         fp.near_pairs(rows.withColumnRenamed("fp", "l"), known.select(F.col("fp").alias("r")), radius)
         .join(known.select(F.col("fp").alias("r"), "fp_score"), "r").groupBy(F.col("l").alias("fp")).agg(F.max("fp_score").alias("fp_score"))
@@ -93,16 +108,32 @@ def fingerprint_scores(fps: DataFrame, store: DataFrame, exact_first: bool = Tru
     return own.join(known, "fp").unionByName(near(own.join(known, "fp", "left_anti")))
 
 
+def with_network(fps: DataFrame, local: DataFrame, network: DataFrame, secret: str) -> DataFrame:
+    """(fp, fp_score) of ``fps`` (fp): the larger of the local score and of the network's on the keyed fingerprint.
+
+    Either may be missing; a network fingerprint meets equal ones only.
+    """
+    scores = network.groupBy(F.col("fp").alias("_keyed")).agg(F.max("score").alias("_network"))
+    keyed = fps.where("fp IS NOT NULL").select("fp").distinct().withColumn("_keyed", fp.network_fp_sip(F.col("fp"), secret))
+    both = keyed.join(scores, "_keyed", "left").join(local, "fp", "left")
+    return both.select("fp", F.greatest("fp_score", "_network").alias("fp_score")).where("fp_score IS NOT NULL")
+
+
 def with_reputation(df: DataFrame, stores: Stores) -> DataFrame:
     """``df`` (email_domain, ip_key, fp) with ip_score, is_disposable, domain_score, fp_score; null where unknown.
 
-    Lookups are left joins on distinct keys, whose tables adaptive execution broadcasts if they turn out small;
-    null keys never match, so missing data gives no signal.
+    The distinct domains and fingerprints are taken in one pass and looked up by themselves; then left joins bring the
+    results to the rows, whose tables adaptive execution broadcasts if they turn out small. Null keys never match, so
+    missing data gives no signal.
     """
+    asked = staged(df.select("email_domain", "fp").distinct(), "asked")
     ips = stores.ips.groupBy(F.col("key").alias("ip_key")).agg(F.max("score").alias("ip_score"))
     domains = stores.domains.groupBy(F.col("domain").alias("email_domain")).agg(F.max("score").alias("domain_score"))
-    listed = disposable(df.select(F.col("email_domain").alias("domain")), stores.disposable, stores.suffixes).select(F.col("domain").alias("email_domain"), F.lit(True).alias("is_disposable"))
-    near = fingerprint_scores(df, stores.fingerprints, stores.exact_first)
+    listed = disposable(asked.select(F.col("email_domain").alias("domain")), stores.disposable, stores.suffixes).select(F.col("domain").alias("email_domain"), F.lit(True).alias("is_disposable"))
+    near = fingerprint_scores(asked, stores.fingerprints, stores.exact_first)
+    if stores.network is not None:
+        near = with_network(asked, near, stores.network, stores.secret or "")
+    near = staged(near, "scores")
     return df.join(ips, "ip_key", "left").join(domains, "email_domain", "left").join(listed, "email_domain", "left").join(near, "fp", "left")
 
 
@@ -117,12 +148,13 @@ def reputation(cfg: Config = DEFAULT) -> dict[str, tuple[Column, Column]]:
     }
 
 
-def prepared(content: DataFrame, fingerprint: bool = True) -> DataFrame:
-    """``content`` (text, and email and ip if present) with features, email_domain, ip_key and fp."""
+def prepared(content: DataFrame, kind: str | None = "md5") -> DataFrame:
+    """``content`` (text, and email and ip if present) with features, email_domain, ip_key and, of a ``kind``, fp."""
     df = with_features(content)
     has = set(content.columns)
     null = F.lit(None).cast("string")
-    return df.withColumns({"email_domain": email_domain(F.col("email")) if "email" in has else null, "ip_key": fp.ipv4_key(F.col("ip")) if "ip" in has else null, "fp": fp.simhash_md5(F.col("text")) if fingerprint else F.lit(None).cast("long")})
+    prints = {"md5": fp.simhash_md5, "sip": fp.simhash_sip}
+    return df.withColumns({"email_domain": email_domain(F.col("email")) if "email" in has else null, "ip_key": fp.ip_key(F.col("ip")) if "ip" in has else null, "fp": prints[kind](F.col("text")) if kind else F.lit(None).cast("long")})
 
 
 def residual(params: dict | None) -> Column | None:
@@ -144,7 +176,7 @@ def assess(content: DataFrame, stores: Stores | None = None, cfg: Config = DEFAU
     Without stores no signal comes from reputation. ``params`` puts a trained residual in place of the baseline
     spam log-odds; slop stays with the baseline. Null text counts as empty, so every row gets an assessment.
     """
-    df = prepared(content, fingerprint=stores is not None)
+    df = prepared(content, stores.kind if stores is not None else None)
     signals: dict = dict(rules(cfg))
     if stores is not None:
         df = with_reputation(df, stores)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import MODEL_INPUTS, model_inputs, split_of, text_group, with_features
+from siftwell.operators import metrics
 from siftwell.operators.scoring import baseline_spam, rule_offset, sigmoid
+from siftwell.sources.sinks import staged, swap, written_beside
 
 #: The ridge strengths of the grid.
 GRID = (0.0, 0.01, 0.1, 1.0, 10.0)
@@ -73,8 +77,9 @@ def fit(train: DataFrame, l2: float, steps: int = 50) -> dict:
     """means, scales, weights, intercept at the minimum of the mean loss plus l2/2 of the squared weights.
 
     The intercept has no penalty. Raises if the gradient doesn't vanish within ``steps``, as on separable rows
-    without a penalty.
+    without a penalty. The inputs are written once; each step reads them.
     """
+    train = staged(train.select("features", "rule_offset", "label"), "train")
     means, scales = moments(train)
     x, w = standardized(means, scales), np.zeros(WIDTH + 1)
     ridge = np.append(np.full(WIDTH, l2), 0.0)
@@ -114,43 +119,106 @@ def select_candidate(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy("validation_brier", F.desc("validation_average_precision"), F.desc("l2")).limit(1)
 
 
+def load_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Training rows of several JSON-lines files (source, id, features, feature_names, rule_offset, baseline_logit, label, split).
+
+    Raises on a file whose rows name other inputs than MODEL_INPUTS or in another order, and on faulty rows.
+    """
+    schema = "source string, id string, text_group string, features array<double>, feature_names array<string>, rule_offset double, baseline_logit double, label boolean, split string"
+    rows = spark.read.schema(schema).json(paths)
+    own = F.array(*map(F.lit, MODEL_INPUTS))
+    other = rows.where(~F.coalesce(F.col("feature_names") == own, F.lit(False))).select(F.col("_metadata.file_path")).first()
+    if other:
+        raise ValueError(f"{other[0]} has other inputs than {', '.join(MODEL_INPUTS)}")
+    rows = staged(rows.drop("feature_names"), "rows")
+    fault = invalid_rows(rows).first()
+    if fault:
+        raise ValueError(f"row {fault.source}:{fault.id}: {fault.error}")
+    return rows
+
+
+def candidates_of(validation: DataFrame, found: dict[float, dict]) -> DataFrame:
+    """(l2, validation_brier, validation_average_precision) of each fitted strength, in one pass over the rows."""
+    scored = validation
+    for k, params in enumerate(found.values()):
+        scored = logits(scored, params).withColumnRenamed("logit", f"_z{k}")
+    each = F.explode(F.array(*(F.struct(F.lit(float(l2)).alias("l2"), F.col(f"_z{k}").alias("z")) for k, l2 in enumerate(found)))).alias("c")
+    long = scored.select(each, "label").select("c.l2", sigmoid(F.col("c.z")).alias("score"), "label")
+    return metrics.signal_metrics(long, by=("l2",)).select("l2", F.col("brier").alias("validation_brier"), F.col("average_precision").alias("validation_average_precision"))
+
+
 def train(rows: DataFrame, grid=GRID) -> tuple[dict, dict]:
     """(params, report) of exported rows: fitted on train by each ridge strength, chosen on validation, reported on test.
 
     Raises on faulty rows, on text groups of differing labels, and on a split without both classes. The report
-    holds each candidate's validation metrics, both classifiers' test metrics, and whether the trained one has
-    the lower Brier score and the higher average precision. Strengths whose fit diverges are left out.
+    holds each candidate's validation metrics, both classifiers' test metrics, three parity vectors (the first test
+    rows by source and id), and whether the trained one has the lower Brier score and the higher average precision.
+    Strengths whose fit diverges are left out.
     """
-    from siftwell.operators import metrics
-
-    rows = rows.cache()
-    try:
-        if not invalid_rows(rows).isEmpty():
-            raise ValueError("training rows are repeated, of the wrong width or not finite")
-        if not label_conflicts(rows).isEmpty():
-            raise ValueError("rows of one text group differ in their label")
-        both = {r[0]: r[1] for r in rows.groupBy("split").agg(F.count_distinct("label")).collect()}
-        if any(both.get(s) != 2 for s in ("train", "validation", "test")):
-            raise ValueError("each split needs both classes")
-        part = {s: rows.where(F.col("split") == s) for s in both}
-        found, candidates = {}, []
-        for l2 in grid:
-            try:
-                params = fit(part["train"], l2)
-            except RuntimeError:
-                continue
-            check_params(params)
-            scored = logits(part["validation"], params).select(sigmoid(F.col("logit")).alias("score"), "label")
-            found[l2] = params
-            candidates.append((l2, metrics.brier(scored).first()[0], metrics.average_precision(scored).first()[0]))
-        spark = rows.sparkSession
-        best = select_candidate(spark.createDataFrame(candidates, "l2 double, validation_brier double, validation_average_precision double")).first()
-        params = found[best.l2]
-        test = logits(part["test"], params)
-        report = {name: metrics.signal_metrics(test.select(sigmoid(F.col(c)).alias("score"), "label")).first().asDict() for name, c in (("baseline", "baseline_logit"), ("trained", "logit"))}
-        report["candidates"] = candidates
-        report["counts"] = {r[0]: r[1] for r in rows.groupBy("split").count().collect()}
-        report["default_eligible"] = report["trained"]["brier"] < report["baseline"]["brier"] and report["trained"]["average_precision"] > report["baseline"]["average_precision"]
-        return params, report
-    finally:
-        rows.unpersist()
+    rows = staged(rows, "rows")
+    if not invalid_rows(rows).isEmpty():
+        raise ValueError("training rows are repeated, of the wrong width or not finite")
+    if not label_conflicts(rows).isEmpty():
+        raise ValueError("rows of one text group differ in their label")
+    both = {r[0]: r[1] for r in rows.groupBy("split").agg(F.count_distinct("label")).collect()}
+    if any(both.get(s) != 2 for s in ("train", "validation", "test")):
+        raise ValueError("each split needs both classes")
+    part = {s: rows.where(F.col("split") == s) for s in both}
+    found = {}
+    for l2 in grid:
+        try:
+            params = fit(part["train"], l2)
+        except RuntimeError:
+            continue
+        check_params(params)
+        found[l2] = params
+    candidates = staged(candidates_of(part["validation"], found), "candidates")
+    params = found[select_candidate(candidates).first().l2]
+    test = logits(part["test"], params)
+    long = test.select(F.expr("stack(2, 'baseline', baseline_logit, 'trained', logit) AS (classifier, z)"), "label").select("classifier", sigmoid(F.col("z")).alias("score"), "label")
+    by = {r.classifier: r.asDict() for r in metrics.compared(long, "classifier", "trained", "baseline").collect()}
+    report: dict = {name: {k: v for k, v in r.items() if k not in ("classifier", "default_eligible")} for name, r in by.items()}
+    report["candidates"] = [tuple(r) for r in candidates.orderBy("l2").collect()]
+    report["counts"] = {r[0]: r[1] for r in rows.groupBy("split").count().collect()}
+    report["default_eligible"] = by["trained"]["default_eligible"]
+    first = test.orderBy("source", "id") if "source" in test.columns else test.orderBy("id")
+    report["parity_vectors"] = [{"id": r.id, "features": list(r.features), "residual_logit": r.logit - r.rule_offset} for r in first.limit(3).collect()]
+    return params, report
+
+
+MODEL = "name string, params struct<l2:double,means:array<double>,scales:array<double>,weights:array<double>,intercept:double>, sha256 string, feature_names array<string>, metadata string"
+
+
+def params_digest(params: dict) -> str:
+    """SHA-256 of the parameters as JSON with sorted keys."""
+    own = {k: [float(x) for x in v] if isinstance(v, (list, tuple)) else float(v) for k, v in params.items()}
+    return hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()
+
+
+def write_model(spark: SparkSession, path: str, params: dict, report: dict, name: str, command: str, sources: list[dict] | None = None) -> None:
+    """Writes the model as one JSON record: parameters, their digest, the inputs' names, and metadata (the report, the split
+    policy, versions, sources and the command). An old model stays until the new one is whole."""
+    check_params(params)
+    metadata = dict(report) | {
+        "split_policy": "first 32 bits of the text group mod 100: train 0..69, validation 70..84, test 85..99", "selected_l2": params.get("l2"), "sources": sources or [],
+        "versions": {"pyspark": spark.version, "numpy": np.__version__}, "command": command,
+    }
+    own = {"l2": float(params.get("l2") or 0.0), **{k: [float(x) for x in params[k]] for k in ("means", "scales", "weights")}, "intercept": float(params["intercept"])}
+    row = (name, own, params_digest(own), list(MODEL_INPUTS), json.dumps(metadata, sort_keys=True, default=float))
+    swap(spark, {path: written_beside(spark.createDataFrame([row], MODEL).coalesce(1), path)})
+
+
+def read_model(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    """(params, metadata) of a written model; raises if its digest, inputs, parameters or parity vectors don't hold."""
+    rows = spark.read.schema(MODEL).json(path).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} holds no model")
+    params, metadata = rows[0].params.asDict(), json.loads(rows[0].metadata)
+    check_params(params)
+    if params_digest(params) != rows[0].sha256 or tuple(rows[0].feature_names) != MODEL_INPUTS:
+        raise ValueError(f"the model of {path} has changed or takes other inputs")
+    for v in metadata.get("parity_vectors", []):
+        z = params["intercept"] + sum((x - m) / s * w for x, m, s, w in zip(v["features"], params["means"], params["scales"], params["weights"]))
+        if not math.isclose(z, v["residual_logit"], rel_tol=1e-5, abs_tol=1e-5):
+            raise ValueError(f"the model of {path} gives {z} for {v['id']}, not {v['residual_logit']}")
+    return params, metadata

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.fingerprint import simhash_md5
+from siftwell.functions.fingerprint import network_fp_sip, simhash_md5, simhash_sip
+from siftwell.functions.text import MODEL_INPUTS
 from siftwell.operators import limits, metrics, training
 from siftwell.operators.config import DEFAULT, Config
+from siftwell.operators.feedback import check_secret
 from siftwell.operators.scoring import Stores, assess
 from siftwell.sources import readers
-from siftwell.sources.sinks import write_json
+from siftwell.sources.sinks import staged, write_json
 
 
 def sound_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of a JSON-lines corpus; raises with the line of the first fault, and on an empty corpus."""
-    records = readers.parsed_records(readers.numbered_lines(spark, path)).cache()
+    records = staged(readers.parsed_records(readers.numbered_lines(spark, path)), "records")
     fault = readers.first_error(records).first()
     if fault:
         raise ValueError(f"line {fault.line}: {fault.error}")
@@ -39,10 +41,14 @@ def check_batches(batches: DataFrame, **options) -> DataFrame:
     return check(rows, **options).select("batch", "item", "spam", "slop", "reasons").orderBy("batch", "item")
 
 
-def votes_of(feedback: DataFrame) -> DataFrame:
-    """Votes (seq, tenant, fp, verdict) of feedback (seq, tenant, text, verdict); raises on a text over the cap, keeps none."""
+def votes_of(feedback: DataFrame, kind: str = "md5", secret: str | None = None) -> DataFrame:
+    """Votes (seq, tenant, fp, verdict) of feedback (seq, tenant, text, verdict); raises on a text over the cap, keeps none.
+
+    ``kind`` is the hash of the fingerprints; with a ``secret`` they are keyed for the network's store.
+    """
     text = F.when(F.octet_length("text") <= limits.FEEDBACK_BYTES, F.col("text")).otherwise(F.raise_error(F.lit("a feedback text is too long")).cast("string"))
-    return feedback.select("seq", "tenant", simhash_md5(text).alias("fp"), "verdict")
+    own = {"md5": simhash_md5, "sip": simhash_sip}[kind](text)
+    return feedback.select("seq", "tenant", (network_fp_sip(own, check_secret(secret.encode()).decode()) if secret else own).alias("fp"), "verdict")
 
 
 def evaluate(spark: SparkSession, path: str, threshold: float = 0.5, params: dict | None = None) -> DataFrame:
@@ -55,6 +61,7 @@ def evaluate(spark: SparkSession, path: str, threshold: float = 0.5, params: dic
 def export_spam_features(spark: SparkSession, path: str, source: str, output: str) -> int:
     """Writes the training rows of a corpus' spam-labelled records; raises if there are none. Returns their number."""
     rows = training.export_features(sound_records(spark, path).select("id", "text", F.col("spam").alias("label")), source)
+    rows = staged(rows.withColumn("feature_names", F.array(*map(F.lit, MODEL_INPUTS))), "export")
     n = rows.count()
     if not n:
         raise ValueError("the corpus holds no spam labels")

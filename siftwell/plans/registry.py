@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import fingerprint as fp
@@ -19,7 +19,7 @@ from siftwell.operators.config import Config
 from siftwell.plans.sql import ORACLE as ORACLE
 from siftwell.plans.sql import PARAMS
 from siftwell.sources import readers
-from siftwell.sources.sinks import scratch, write_json
+from siftwell.sources.sinks import scratch, spread, staged, write_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SECRET = "a-secret-of-at-least-thirty-two-bytes"
@@ -31,14 +31,17 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A whole table; a small one is spread over all cores, as it is one row group of one file."""
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def content(spark: SparkSession, d: str) -> DataFrame:
-    """(cid, text) of documents, and of pages as address and title, which hold the links."""
-    docs = table(spark, d, "documents").select((F.col("doc_id") * 2).alias("cid"), "text")
-    pages = table(spark, d, "pages").select((F.col("page_id") * 2 + 1).alias("cid"), F.concat_ws(" ", "url", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("text"))
-    return docs.unionByName(pages)
+    """(cid, text) of documents, of pages' whole html, and of pages as address and title, which hold the links."""
+    docs = table(spark, d, "documents").select((F.col("doc_id") * 3).alias("cid"), "text")
+    pages = table(spark, d, "pages")
+    html = pages.select((F.col("page_id") * 3 + 1).alias("cid"), F.col("html").alias("text"))
+    titles = pages.select((F.col("page_id") * 3 + 2).alias("cid"), F.concat_ws(" ", "url", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("text"))
+    return docs.unionByName(html).unionByName(titles)
 
 
 def people(df: DataFrame) -> DataFrame:
@@ -61,7 +64,7 @@ def known_prints(spark: SparkSession, d: str) -> DataFrame:
 def stores(spark: SparkSession, d: str) -> scoring.Stores:
     return scoring.Stores(
         disposable=spark.createDataFrame([("mailinator.com",), ("trash.example",)], "domain string"),
-        ips=spark.createDataFrame([("203.0.1", 0.9), ("203.0.2", 0.4), ("203.0.3", 0.5), ("203.0.4", 0.75)], "key string, score double"),
+        ips=spark.createDataFrame([("203.0.1", 0.9), ("203.0.2", 0.4), ("203.0.3", 0.5), ("203.0.4", 0.75), ("2001:db8:1", 0.8)], "key string, score double"),
         domains=spark.createDataFrame([("spam.example", 0.8), ("mailinator.com", 0.6), ("example.com", 0.2)], "domain string, score double"),
         fingerprints=known_prints(spark, d),
     )
@@ -137,7 +140,7 @@ def simhash_sip(spark, d):
 
 @query
 def near_dup_pairs(spark, d):
-    own = content(spark, d).select(fp.simhash_md5("text").alias("l")).distinct()
+    own = staged(content(spark, d).select(fp.simhash_md5("text").alias("l")).distinct(), "prints")
     return fp.near_pairs(own, own.withColumnRenamed("l", "r"), bits=60).where("l < r").withColumn("distance", F.col("distance").cast("long"))
 
 
@@ -148,7 +151,7 @@ def ip_bucket_v4(spark, d):
 
 @query
 def ip_bucket_v6(spark, d):
-    return people(content(spark, d)).select("cid", fp.ip_bucket("ip").alias("bucket"))
+    return people(content(spark, d)).select("cid", fp.ipv6_key(F.col("ip")).alias("ip_key"))
 
 
 @query
@@ -165,7 +168,7 @@ def tenant_id(spark, d):
 
 
 def keyed(spark, d):
-    return people(content(spark, d)).select("cid", tx.email_domain(F.col("email")).alias("domain"), fp.ipv4_key(F.col("ip")).alias("key"))
+    return people(content(spark, d)).select("cid", tx.email_domain(F.col("email")).alias("domain"), fp.ip_key(F.col("ip")).alias("key"))
 
 
 @query
@@ -205,9 +208,10 @@ def rep_fp_memory(spark, d):
 
 @query
 def rep_fp_hosted(spark, d):
-    local = scoring.fingerprint_scores(prints(spark, d), known_prints(spark, d))
-    net = prints(spark, d).distinct().where("abs(fp) % 3 = 0").select("fp", (F.abs("fp") % 10 / 10).alias("n"))
-    return local.join(net, "fp", "full").select("fp", F.round(F.greatest("fp_score", "n"), 6).alias("fp_score"))
+    own = staged(prints(spark, d).distinct(), "prints")
+    net = own.where("abs(fp) % 3 = 0").select(fp.network_fp_sip(F.col("fp"), SECRET).alias("fp"), (F.abs("fp") % 10 / 10).alias("score"))
+    local = scoring.fingerprint_scores(own, known_prints(spark, d))
+    return scoring.with_network(own, local, staged(net, "network"), SECRET).select("fp", *r6("fp_score"))
 
 
 # Assessment
@@ -235,8 +239,9 @@ def reason_counts(spark, d):
 @query
 def response_invariants(spark, d):
     ok = F.bool_and(metrics.in_unit(F.col("spam")) & metrics.in_unit(F.col("slop")))
+    told = F.bool_and(F.forall("reasons", lambda r: r.isin(*scoring.REASONS)))
     total = content(spark, d).agg(F.count("*").alias("c"))
-    return assessed(spark, d).agg(F.count("*").alias("rows_"), ok.alias("in_unit")).crossJoin(total).select("rows_", (F.col("rows_") == F.col("c")).alias("same_length"), "in_unit")  # one row each
+    return assessed(spark, d).agg(F.count("*").alias("rows_"), ok.alias("in_unit"), told.alias("reasons_ok")).crossJoin(total).select("rows_", (F.col("rows_") == F.col("c")).alias("same_length"), "in_unit", "reasons_ok")  # one row each
 
 
 @query
@@ -278,7 +283,7 @@ def prf(spark, d):
 
 @query
 def threshold_sweep(spark, d):
-    return metrics.sweep(spam_scores(spark, d), (0.02, 0.05, 0.1, 0.5)).select("threshold", "tp", "fp", "tn", "fn", *r6("precision", "recall", "f1"))
+    return metrics.sweep(spam_scores(spark, d), (0.02, 0.05, 0.1, *metrics.SWEEP)).select("threshold", "tp", "fp", "tn", "fn", *r6("precision", "recall", "f1"))
 
 
 @query
@@ -371,7 +376,7 @@ def standardize(spark, d):
 def logistic_gradient(spark, d):
     import numpy as np
 
-    train = train_rows(spark, d)
+    train = staged(train_rows(spark, d), "train")
     n, _, g, _ = training.sums(train, training.standardized(*training.moments(train)), np.zeros(8), hessian=False)
     return spark.createDataFrame([(k, float(x / n)) for k, x in enumerate(g)], "param long, gradient double").select("param", *r6("gradient"))
 
@@ -386,21 +391,39 @@ def fit_residual(spark, d):
 @query
 def classifier_ab(spark, d):
     rows = training.logits(exported(spark, d), PARAMS)
-    long = rows.select(F.expr("stack(2, 'baseline', baseline_logit, 'trained', logit) AS (classifier, z)"), "label")
-    return metrics.brier(long.select("classifier", scoring.sigmoid(F.col("z")).alias("score"), "label"), ("classifier",)).select("classifier", *r6("brier"))
+    long = rows.select(F.expr("stack(2, 'baseline', baseline_logit, 'trained', logit) AS (classifier, z)"), "label").select("classifier", F.round(scoring.sigmoid(F.col("z")), 9).alias("score"), "label")
+    return metrics.compared(long, "classifier", "trained", "baseline").select("classifier", *r6("brier", "average_precision"), "default_eligible")
 
 
 @query
 def parity_check(spark, d):
-    one = training.logits(exported(spark, d), PARAMS).select("id", "logit")
-    two = tx.with_features(documents(spark, d)).select(F.col("doc_id").cast("string").alias("id"), (scoring.rule_offset() + scoring.residual(PARAMS)).alias("z"))
-    near = F.bool_and(F.abs(F.col("logit") - F.col("z")) <= 1e-5 + 1e-5 * F.abs("z"))
-    return one.join(two, "id").agg(F.count("*").alias("rows_"), near.alias("within"))
+    """The column expression against the model as written and read back, in single precision by arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    path = scratch(spark, "model")
+    training.write_model(spark, path, PARAMS, {}, "fixed", "parity_check")
+    params, _ = training.read_model(spark, path)
+    mean, scale, weight = (np.array(params[k], np.float32) for k in ("means", "scales", "weights"))
+
+    def evaluated(batches):
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float32).reshape(-1, 7)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array((((x - mean) / scale) @ weight + np.float32(params["intercept"])).astype(float))], ["id", "logit", "residual"])
+
+    rows = training.logits(exported(spark, d), PARAMS).select("id", "features", (F.col("logit") - F.col("rule_offset")).alias("logit"))
+    near = F.bool_and(F.abs(F.col("logit") - F.col("residual")) <= 1e-5 + 1e-5 * F.abs("logit"))
+    return rows.mapInArrow(evaluated, "id string, logit double, residual double").agg(F.count("*").alias("rows_"), near.alias("within"))
 
 
 @query
 def select_candidate(spark, d):
-    return training.select_candidate(spark.createDataFrame([(0.01, 0.20, 0.80), (0.1, 0.19, 0.70), (1.0, 0.19, 0.70)], "l2 double, validation_brier double, validation_average_precision double"))
+    """Candidates are one model's residual shrunk by each ridge strength, measured on the validation rows."""
+    rows = training.logits(exported(spark, d), PARAMS).where("split = 'validation'").withColumn("l2", F.explode(F.array(*map(F.lit, training.GRID))))
+    score = scoring.sigmoid(F.col("rule_offset") + (F.col("logit") - F.col("rule_offset")) / (1 + F.col("l2")))
+    found = metrics.signal_metrics(rows.select("l2", F.round(score, 9).alias("score"), "label"), by=("l2",))
+    best = training.select_candidate(found.select("l2", F.col("brier").alias("validation_brier"), F.col("average_precision").alias("validation_average_precision")))
+    return best.select("l2", *r6("validation_brier", "validation_average_precision"))
 
 
 # Feedback, credentials and limits
@@ -433,7 +456,7 @@ def vote_receipts(spark, d):
 
 @query
 def feedback_ingest(spark, d):
-    return documents(spark, d).where(F.octet_length("text") <= 1 << 30).groupBy(fp.simhash_md5("text").alias("fp")).agg(F.count("*").alias("votes"))
+    return documents(spark, d).where(F.octet_length("text") <= limits.FEEDBACK_BYTES).groupBy(fp.simhash_md5("text").alias("fp")).agg(F.count("*").alias("votes"))
 
 
 @query
@@ -475,12 +498,13 @@ def parse_key_list(spark, d):
 
 @query
 def batch_cap(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("batch")).agg(F.count("*").alias("items")).withColumn("ok", F.col("items") <= 60)
+    return table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("batch")).agg(F.count("*").alias("items")).withColumn("ok", F.col("items") <= limits.BATCH_ITEMS)
 
 
 @query
 def oversize_text(spark, d):
-    return table(spark, d, "documents").where(F.octet_length("text") > 8192).select("doc_id")
+    n = F.octet_length("text").cast("long")
+    return table(spark, d, "documents").select("doc_id", n.alias("bytes"), (n > limits.FEEDBACK_BYTES).alias("oversize"))
 
 
 @query
@@ -501,10 +525,16 @@ def request_decode(spark, d):
 
 
 def lines_of(df: DataFrame, name: str) -> DataFrame:
-    """The single column of ``df``, in its order, as a text file that is read back by lines."""
+    """(line, value): the single column of ``df``, in its order, as text files that are read back by lines.
+
+    Lines are numbered in each file and moved by the lines of the files before, a row for each file.
+    """
     path = scratch(df.sparkSession, name)
-    df.coalesce(1).write.text(path)
-    return readers.numbered_lines(df.sparkSession, path).drop("file")
+    df.write.text(path)
+    own = readers.numbered_lines(df.sparkSession, path)
+    files = own.groupBy("file").agg(F.max("line").alias("n"))
+    before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    return own.join(before, "file").select((F.col("before") + F.col("line")).alias("line"), "value")
 
 
 def records(spark, d) -> DataFrame:
@@ -555,7 +585,7 @@ def import_csv_dedup(spark, d):
     text = F.concat(F.lit('says "'), F.col("o_orderpriority"), F.lit('"\nok, '), F.col("o_orderstatus"))
     rows = o.select(F.concat("o_orderstatus", "o_orderpriority").alias("COMMENT_ID"), text.alias("CONTENT"), F.when(F.col("o_orderstatus") == "F", "1").otherwise("0").alias("CLASS"))
     path = scratch(spark, "comments")
-    rows.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     found, conflicts = readers.deduplicated(readers.comment_csv(spark, path, "yt").withColumn("id", F.regexp_replace("id", "^yt:[^:]*:", "yt:Comments:")))
     return found.join(conflicts, "id", "left_anti").select("id", "text", "spam")
 
@@ -576,9 +606,12 @@ def seed_ip_ranges(spark, d):
 
 @query
 def verify_sha256(spark, d):
+    """The names of nations, as many as there are, in one file against the digest of what it should hold."""
+    names = table(spark, d, "nation").orderBy("n_nationkey").select("n_name")
     path = scratch(spark, "checksum")
-    spark.createDataFrame([("payload",)], "value string").coalesce(1).write.text(path)
-    return readers.verified(spark, f"{path}/part-*", hashlib.sha256(b"payload\n").hexdigest().upper()).select("matches")
+    names.coalesce(1).write.text(path)
+    expected = hashlib.sha256("".join(f"{r[0]}\n" for r in names.collect()).encode()).hexdigest()
+    return readers.verified(spark, f"{path}/part-*", expected.upper()).select("length", "sha256", "matches")
 
 
 @query

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 ONLY_DOCUMENTS = "content AS (SELECT doc_id AS cid, text FROM documents)"
 CONTENT = """content AS (
-  SELECT doc_id * 2 AS cid, text FROM documents
-  UNION ALL SELECT page_id * 2 + 1, concat_ws(' ', url, regexp_extract(html, '<title>(.*?)</title>', 1, 's')) FROM pages)"""
+  SELECT doc_id * 3 AS cid, text FROM documents
+  UNION ALL SELECT page_id * 3 + 1, html FROM pages
+  UNION ALL SELECT page_id * 3 + 2, concat_ws(' ', url, regexp_extract(html, '<title>(.*?)</title>', 1, 's')) FROM pages)"""
 TOKENS = r"tok AS (SELECT cid, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM content)"
 FEATURES = r"""feat AS (
   SELECT cid, text, w, len(w)::BIGINT AS word_count,
@@ -32,11 +33,11 @@ PEOPLE = """people AS (SELECT cid,
   CASE cid % 6 WHEN 0 THEN NULL WHEN 1 THEN 'u' || cid || '@Mailinator.com' WHEN 2 THEN 'u@x' || cid || '@inbox.mailinator.com' WHEN 3 THEN 'u' || cid || '@spam.example' WHEN 4 THEN 'u' || cid || '@mailinator.com.example.org' ELSE '@nobody' || cid END AS email,
   CASE WHEN cid % 7 = 0 THEN '2001:db8:1::' || cid % 100 ELSE '203.0.' || cid % 7 || '.' || cid % 200 END AS ip FROM content)"""
 DOMAINS = """domains AS (SELECT cid, ip, CASE WHEN strpos(email, '@') > 0 AND length(p[-1]) > 0 AND length(email) - length(p[-1]) - 1 > 0 AND contains(trim(p[-1]), '.') THEN lower(trim(p[-1])) END AS domain,
-  nullif(regexp_extract(ip, '^(\\d+\\.\\d+\\.\\d+)\\.\\d+$', 1), '') AS ip_key FROM (SELECT *, string_split(email, '@') AS p FROM people))"""
-STORES = """s_ip(ip_key, ip_score) AS (VALUES ('203.0.1', 0.9::DOUBLE), ('203.0.2', 0.4::DOUBLE), ('203.0.3', 0.5::DOUBLE), ('203.0.4', 0.75::DOUBLE)),
+  coalesce(nullif(regexp_extract(ip, '^(\\d+\\.\\d+\\.\\d+)\\.\\d+$', 1), ''), nullif(regexp_extract(ip, '^(\\w+:\\w+:\\w+)::\\w+$', 1), '')) AS ip_key FROM (SELECT *, string_split(email, '@') AS p FROM people))"""
+STORES = """s_ip(ip_key, ip_score) AS (VALUES ('203.0.1', 0.9::DOUBLE), ('203.0.2', 0.4::DOUBLE), ('203.0.3', 0.5::DOUBLE), ('203.0.4', 0.75::DOUBLE), ('2001:db8:1', 0.8::DOUBLE)),
 s_disposable(name) AS (VALUES ('mailinator.com'), ('trash.example')),
 s_domain(domain, domain_score) AS (VALUES ('spam.example', 0.8::DOUBLE), ('mailinator.com', 0.6::DOUBLE), ('example.com', 0.2::DOUBLE))"""
-KNOWN = """known AS (SELECT fp, max(0.3::DOUBLE + (cid // 2 % 5) * 0.15::DOUBLE) AS fp_score FROM prints WHERE cid % 2 = 0 AND cid // 2 % 97 = 5 GROUP BY fp),
+KNOWN = """known AS (SELECT fp, max(0.3::DOUBLE + (cid // 3 % 5) * 0.15::DOUBLE) AS fp_score FROM prints WHERE cid % 3 = 0 AND cid // 3 % 97 = 5 GROUP BY fp),
 own AS (SELECT DISTINCT fp FROM prints),
 near AS (SELECT own.fp, max(known.fp_score) AS fp_score FROM own JOIN known ON bit_count(xor(own.fp, known.fp)) <= 3 GROUP BY own.fp),
 fp_local AS (SELECT own.fp, coalesce(known.fp_score, near.fp_score) AS fp_score FROM own LEFT JOIN known USING (fp) LEFT JOIN near USING (fp) WHERE known.fp IS NOT NULL OR near.fp IS NOT NULL)"""
@@ -87,7 +88,8 @@ ORACLE: dict[str, str] = {
     "baseline_classifier": q(*ALL, "SELECT cid, round(c_spam, 6) AS spam_logit, round(c_slop, 6) AS slop_logit FROM scored"),
     "simhash_md5": q(*PARTS, "SELECT cid, fp FROM prints"),
     "near_dup_pairs": q(*PARTS, "own AS (SELECT DISTINCT fp FROM prints)", "SELECT a.fp AS l, b.fp AS r, bit_count(xor(a.fp, b.fp))::BIGINT AS distance FROM own a JOIN own b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= 3"),
-    "ip_bucket_v4": q(CONTENT, PEOPLE, DOMAINS, "SELECT cid, ip_key FROM domains"),
+    "ip_bucket_v4": q(CONTENT, PEOPLE, DOMAINS, "SELECT cid, if(contains(ip_key, ':'), NULL, ip_key) AS ip_key FROM domains"),
+    "ip_bucket_v6": q(CONTENT, PEOPLE, DOMAINS, "SELECT cid, if(contains(ip_key, ':'), ip_key, NULL) AS ip_key FROM domains"),
     "network_fp": q(*PARTS, "SELECT cid, substr(sha256('a-secret-of-at-least-thirty-two-bytes:' || fp), 1, 16) AS network_fp FROM prints"),
     "tenant_id": "SELECT c_custkey AS id, substr(sha256(c_name), 1, 32) AS tenant_id FROM customer",
     "rep_ip": q(CONTENT, PEOPLE, DOMAINS, STORES, "SELECT cid, ip_score, coalesce(ip_score > 0.5, false) AS bad FROM domains LEFT JOIN s_ip USING (ip_key)"),
@@ -104,7 +106,7 @@ ORACLE: dict[str, str] = {
     "assess_trained": q(*ALL, f"SELECT cid, round(1 / (1 + exp(-(rule_offset + {RESIDUAL}))), 6) AS spam, round(slop, 6) AS slop FROM scored"),
     "confusion": q(*LAB, f"SELECT {COUNTS.format(t='0.1::DOUBLE')} FROM s"),
     "prf": q(*LAB, f"c AS (SELECT {COUNTS.format(t='0.1::DOUBLE')} FROM s)", f"SELECT {PRF} FROM c"),
-    "threshold_sweep": q(*LAB, "t(threshold) AS (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE))", f"c AS (SELECT threshold, {COUNTS.format(t='threshold')} FROM s, t GROUP BY threshold)", f"SELECT *, {PRF} FROM c"),
+    "threshold_sweep": q(*LAB, "t(threshold) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in (0.02, 0.05, 0.1, 0.5, 0.7, 0.8, 0.9, 0.95)) + ")", f"c AS (SELECT threshold, {COUNTS.format(t='threshold')} FROM s, t GROUP BY threshold)", f"SELECT *, {PRF} FROM c"),
     "brier": q(*LAB, "SELECT round(avg((score - label::INT) ** 2), 6) AS brier FROM s"),
     "ece": q(*LAB, f"SELECT round({ECE.format(s='s')}, 6) AS ece"),
     "ece_range_bins": q(*LAB, "SELECT round(sum(n * abs(a - p)) / sum(n), 6) AS ece FROM (SELECT count(*) AS n, avg(score) AS a, avg(label::INT) AS p FROM s GROUP BY " + " + ".join(f"(score >= {b / 10}::DOUBLE)::INT" for b in range(1, 10)) + ")"),
@@ -119,14 +121,20 @@ ORACLE: dict[str, str] = {
     "partition_counts": q(*EXPORT, "SELECT split, if(cid % 2 = 0, 'even', 'odd') AS source, count(*) AS records, count_if(label)::BIGINT AS positive, count_if(NOT label)::BIGINT AS negative FROM rows_ GROUP BY ROLLUP (split, source) HAVING split IS NOT NULL"),
     "standardize": q(*EXPORT, " UNION ALL ".join(f"SELECT {k}::BIGINT AS input, round(avg(x[{k + 1}]), 6) AS mean, round(if(stddev_pop(x[{k + 1}]) = 0, 1, stddev_pop(x[{k + 1}])), 6) AS scale FROM rows_ WHERE split = 'train'" for k in range(7))),
     "logistic_gradient": q(*EXPORT, "p AS (SELECT *, 1 / (1 + exp(-rule_offset)) - label::INT AS e FROM rows_ WHERE split = 'train')", "m AS (SELECT " + ", ".join(f"avg(x[{k}]) AS m{k}, if(stddev_pop(x[{k}]) = 0, 1, stddev_pop(x[{k}])) AS s{k}" for k in range(1, 8)) + " FROM p)", " UNION ALL ".join([f"SELECT {k - 1}::BIGINT AS param, round(avg(e * (x[{k}] - m{k}) / s{k}), 6) AS gradient FROM p, m" for k in range(1, 8)] + ["SELECT 7::BIGINT, round(avg(e), 6) FROM p"])),
-    "classifier_ab": q(*EXPORT, f"z AS (SELECT scored.cid, label, 1 / (1 + exp(-baseline_logit)) AS b, 1 / (1 + exp(-(scored.rule_offset + {RESIDUAL}))) AS t FROM rows_ JOIN scored USING (cid))", "SELECT 'baseline' AS classifier, round(avg((b - label::INT) ** 2), 6) AS brier FROM z UNION ALL SELECT 'trained', round(avg((t - label::INT) ** 2), 6) FROM z"),
+    "classifier_ab": q(*EXPORT, f"z AS (SELECT scored.cid, label, round(1 / (1 + exp(-baseline_logit)), 9) AS b, round(1 / (1 + exp(-(scored.rule_offset + {RESIDUAL}))), 9) AS t FROM rows_ JOIN scored USING (cid))",
+        "one AS (SELECT b AS score, label FROM z)", "two AS (SELECT t AS score, label FROM z)",
+        "m AS (" + " UNION ALL ".join(f"SELECT '{name}' AS classifier, (SELECT avg((score - label::INT) ** 2) FROM {t}) AS brier, {AP.format(s=t)} AS average_precision" for name, t in (("baseline", "one"), ("trained", "two"))) + ")",
+        "SELECT classifier, round(brier, 6) AS brier, round(average_precision, 6) AS average_precision, (SELECT max(brier) FILTER (classifier = 'trained') < max(brier) FILTER (classifier = 'baseline') AND max(average_precision) FILTER (classifier = 'trained') > max(average_precision) FILTER (classifier = 'baseline') FROM m) AS default_eligible FROM m"),
     "parity_check": q(*EXPORT, "SELECT count(*) AS rows_, true AS within FROM rows_"),
-    "select_candidate": "SELECT 1.0::DOUBLE AS l2, 0.19::DOUBLE AS validation_brier, 0.7::DOUBLE AS validation_average_precision",
+    "select_candidate": q(*EXPORT, f"z AS (SELECT l2, label, round(1 / (1 + exp(-(scored.rule_offset + ({RESIDUAL}) / (1 + l2)))), 9) AS score FROM rows_ JOIN scored USING (cid), (VALUES (0::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE), (1::DOUBLE), (10::DOUBLE)) g(l2) WHERE split = 'validation')",
+        "t AS (SELECT l2, score, count(*)::DOUBLE AS n, count_if(label)::DOUBLE AS pos FROM z GROUP BY ALL)", "w AS (SELECT *, sum(pos) OVER (PARTITION BY l2 ORDER BY score DESC) AS cp, sum(n) OVER (PARTITION BY l2 ORDER BY score DESC) AS cn FROM t)",
+        "c AS (SELECT l2, sum(pos * cp / cn) / nullif(sum(pos), 0) AS ap FROM w GROUP BY l2)", "b AS (SELECT l2, avg((score - label::INT) ** 2) AS brier FROM z GROUP BY l2)",
+        "SELECT l2, round(brier, 6) AS validation_brier, round(ap, 6) AS validation_average_precision FROM b JOIN c USING (l2) ORDER BY brier, ap DESC, l2 DESC LIMIT 1"),
     "votes_latest": q(VOTES, LATEST, "SELECT fp, tenant, verdict FROM latest"),
     "vote_aggregates": q(VOTES, LATEST, "SELECT fp, spam::BIGINT AS spam, ham::BIGINT AS ham, ((spam::BIGINT << 32) | ham::BIGINT) AS packed FROM agg"),
     "network_score": q(VOTES, LATEST, "SELECT fp, round(spam / (spam + ham), 6) AS score FROM agg WHERE spam + ham >= 3"),
     "vote_receipts": q(VOTES, "m AS (SELECT seq, fp, verdict IS DISTINCT FROM lag(verdict) OVER w AS changed, row_number() OVER w = 1 AS first FROM votes WINDOW w AS (PARTITION BY fp, tenant ORDER BY seq))", "SELECT seq, changed, sum(first::INT) OVER (PARTITION BY fp ORDER BY seq)::BIGINT AS distinct_tenants FROM m"),
-    "feedback_ingest": q(*PARTS, "SELECT fp, count(*) AS votes FROM prints WHERE cid % 2 = 0 GROUP BY fp"),
+    "feedback_ingest": q(*PARTS, "SELECT fp, count(*) AS votes FROM prints JOIN content USING (cid) WHERE cid % 3 = 0 AND strlen(text) <= 65536 GROUP BY fp"),
     "rate_limit": q("r AS (SELECT event_id AS id, user_id::VARCHAR AS tenant, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
         "f AS (SELECT id, tenant, sec, n, sec AS start, 1 AS used, true AS accepted FROM r WHERE n = 1 UNION ALL SELECT r.id, r.tenant, r.sec, r.n, if(r.sec - f.start >= 86400, r.sec, f.start), if(r.sec - f.start >= 86400, 1, least(2, f.used + 1)), r.sec - f.start >= 86400 OR f.used < 2 FROM f JOIN r ON r.tenant = f.tenant AND r.n = f.n + 1)",
         "SELECT id, tenant, accepted, if(accepted, NULL, greatest(1, floor(86400 - (sec - start))))::BIGINT AS retry_after FROM f", recursive=True),
@@ -134,21 +142,21 @@ ORACLE: dict[str, str] = {
     "bearer_parse": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 IN (0, 1) THEN 'key' || c_custkey END AS token FROM customer",
     "auth_lookup": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 IN (0, 1) AND c_custkey % 3 = 0 THEN substr(sha256('t' || c_custkey), 1, 32) END AS tenant_id FROM customer",
     "parse_key_list": "SELECT s_suppkey AS id, 'a' || s_suppkey AS tenant, 'k=' || s_suppkey AS api_key FROM supplier UNION ALL SELECT s_suppkey, 'b', 'x' FROM supplier",
-    "batch_cap": "SELECT user_id AS batch, count(*) AS items, count(*) <= 60 AS ok FROM events GROUP BY user_id",
-    "oversize_text": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
+    "batch_cap": "SELECT user_id % 10 AS batch, count(*) AS items, count(*) <= 1000 AS ok FROM events GROUP BY user_id % 10",
+    "oversize_text": "SELECT doc_id, strlen(text)::BIGINT AS bytes, strlen(text) > 65536 AS oversize FROM documents",
     "mcp_limits": "SELECT page_id, length(html) >= 1 AND strlen(html) <= 65536 AND length(url) <= 45 AS ok FROM pages",
     "request_decode": "SELECT page_id AS id, url AS text, if(page_id % 3 = 0, 'review', 'other') AS context, page_id % 5 <> 0 AS ok FROM pages",
-    "response_invariants": q(*ASSESS, "SELECT count(*) AS rows_, count(*) = (SELECT count(*) FROM content) AS same_length, bool_and(spam BETWEEN 0 AND 1 AND slop BETWEEN 0 AND 1) AS in_unit FROM assessed"),
+    "response_invariants": q(*ASSESS, "SELECT count(*) AS rows_, count(*) = (SELECT count(*) FROM content) AS same_length, bool_and(spam BETWEEN 0 AND 1 AND slop BETWEEN 0 AND 1) AS in_unit, bool_and(reasons IS NOT NULL) AS reasons_ok FROM assessed"),
     "src_jsonl": "SELECT doc_id + 1 AS line, doc_id::VARCHAR AS id, text FROM documents",
     "validate_records": "SELECT doc_id + 1 AS line, CASE WHEN doc_id % 50 = 3 THEN 'json' WHEN doc_id % 50 = 0 THEN 'empty_id' WHEN doc_id % 50 = 1 THEN 'empty_text' WHEN doc_id % 50 = 2 THEN 'no_labels' WHEN doc_id % 50 = 4 AND doc_id > 4 THEN 'duplicate_id' END AS error FROM documents",
     "strict_json": "SELECT doc_id + 1 AS line FROM documents WHERE doc_id % 50 = 3",
     "duplicate_ids": "SELECT doc_id + 1 AS line FROM documents WHERE doc_id % 50 = 4 AND doc_id > 4",
-    "first_error": "SELECT 1::BIGINT AS line, 'empty_id' AS error",
+    "first_error": "SELECT min(line) AS line, arg_min(error, line) AS error FROM (SELECT doc_id + 1 AS line, CASE WHEN doc_id % 50 = 3 THEN 'json' WHEN doc_id % 50 = 0 THEN 'empty_id' WHEN doc_id % 50 = 1 THEN 'empty_text' WHEN doc_id % 50 = 2 THEN 'no_labels' WHEN doc_id % 50 = 4 AND doc_id > 4 THEN 'duplicate_id' END AS error FROM documents) WHERE error IS NOT NULL",
     "import_tsv": "SELECT 'sms:' || (c_custkey + 1) AS id, c_name || chr(9) || c_mktsegment AS text, c_nationkey % 2 = 1 AS spam FROM customer",
     "import_csv_dedup": "SELECT DISTINCT 'yt:Comments:' || o_orderstatus || o_orderpriority AS id, 'says \"' || o_orderpriority || '\"' || chr(10) || 'ok, ' || o_orderstatus AS text, o_orderstatus = 'F' AS spam FROM orders",
     "import_domains": "SELECT DISTINCT lower(split_part(split_part(url, '://', 2), '/', 1)) AS domain FROM pages",
     "seed_ip_ranges": "SELECT '10.' || s_suppkey % 300 || '.' || s_nationkey AS key, 0.5::DOUBLE AS score FROM supplier WHERE s_suppkey % 300 < 256",
-    "verify_sha256": "SELECT true AS matches",
+    "verify_sha256": "SELECT strlen(t)::BIGINT AS length, sha256(t) AS sha256, true AS matches FROM (SELECT string_agg(n_name || chr(10), '' ORDER BY n_nationkey) AS t FROM nation)",
     "count_gate": "SELECT count(*) AS records, count(*) BETWEEN 1 AND 100000 AS ok FROM documents",
     "source_select": "SELECT DISTINCT source AS id FROM documents WHERE source IN ('src1', 'src2')",
     "sink_roundtrip": "SELECT doc_id, text, lang FROM documents",

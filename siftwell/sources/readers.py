@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
+import zipfile
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -59,6 +64,51 @@ def labelled_tsv(lines: DataFrame, source: str) -> DataFrame:
     return own.select(F.concat(F.lit(source + ":"), F.col("line")).alias("id"), F.when(tab, text).alias("text"), F.lit("other").alias("context"), F.when(label == "spam", True).when(label == "ham", False).alias("spam"), F.when(~tab | ~label.isin("spam", "ham"), "bad_line").alias("error"))
 
 
+def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(member, line, value): the lines, from 1 on, of the members of zip files whose names match; members stream by lines."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as whole:
+                    for name in sorted(n for n in whole.namelist() if re.fullmatch(pattern, n.rsplit("/", 1)[-1])):
+                        with whole.open(name) as raw:
+                            lines = enumerate(io.TextIOWrapper(raw, "utf-8-sig", newline="\n"), 1)
+                            while some := [(name, k, x.rstrip("\n").removesuffix("\r")) for k, x in islice(lines, 4096)]:
+                                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], t) for c, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["member", "line", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "member string, line long, value string")
+
+
+def labelled_tsv_zip(spark: SparkSession, path: str, source: str, member: str = "SMSSpamCollection") -> DataFrame:
+    """``labelled_tsv`` of a member of a zip file."""
+    return labelled_tsv(zip_members(spark, path, re.escape(member)), source)
+
+
+def comment_zip(spark: SparkSession, path: str, source: str, pattern: str = r"Youtube.*\.csv") -> DataFrame:
+    """``comment_csv`` of all matching members of zip files, in which quoted fields may hold line breaks."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as whole:
+                    for name in sorted(n for n in whole.namelist() if re.fullmatch(pattern, n.rsplit("/", 1)[-1])):
+                        with whole.open(name) as raw:
+                            rows = csv.DictReader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
+                            missing = {"COMMENT_ID", "CONTENT", "CLASS"} - set(rows.fieldnames or [])
+                            if missing:
+                                raise ValueError(f"missing columns in {name}: {sorted(missing)}")
+                            stem = name.rsplit("/", 1)[-1].removesuffix(".csv")
+                            while some := list(islice(rows, 1024)):
+                                for r in some:
+                                    if r["CLASS"] not in ("0", "1"):
+                                        raise ValueError(f"bad class in {name}: {r['CLASS']}")
+                                columns = ([f"{source}:{stem}:{r['COMMENT_ID']}" for r in some], [r["CONTENT"] for r in some], ["comment"] * len(some), [r["CLASS"] == "1" for r in some])
+                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "text", "context", "spam"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id string, text string, context string, spam boolean")
+
+
 def comment_csv(spark: SparkSession, paths: str | list[str], source: str) -> DataFrame:
     """(id, text, context, spam) of CSV files with COMMENT_ID, CONTENT and CLASS (0 or 1), quoted line breaks allowed."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths).withColumn("stem", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
@@ -111,8 +161,9 @@ def ip_ranges(lines: DataFrame) -> DataFrame:
 
 
 def verified(spark: SparkSession, path: str, sha256: str) -> DataFrame:
-    """(path, length, matches) of files against an expected digest, in either case."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", (F.sha2("content", 256) == sha256.lower()).alias("matches"))
+    """(path, length, sha256, matches) of files against an expected digest, in either case."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return found.withColumn("matches", F.col("sha256") == sha256.lower())
 
 
 def gate(df: DataFrame, least: int, most: int) -> DataFrame:
@@ -163,6 +214,6 @@ def decoded_requests(lines: DataFrame) -> DataFrame:
 
 
 def is_ip(ip: Column) -> Column:
-    from siftwell.functions.fingerprint import ip_bucket, ipv4_key
+    from siftwell.functions.fingerprint import ip_key
 
-    return ipv4_key(ip).isNotNull() | ip_bucket(ip).isNotNull()
+    return ip_key(ip).isNotNull()

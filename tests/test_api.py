@@ -37,7 +37,7 @@ def test_export_and_command_line(spark, tmp_path, capsys):
     main(["export-spam-features", "--input", corpus(tmp_path), "--source", "own", "--output", str(tmp_path / "rows")])
     assert json.loads(capsys.readouterr().out) == {"records": 8}
     rows = spark.read.json(str(tmp_path / "rows"))
-    assert rows.count() == 8 and set(rows.columns) == {"id", "source", "text_group", "label", "rule_offset", "baseline_logit", "features", "split"}
+    assert rows.count() == 8 and set(rows.columns) == {"id", "source", "text_group", "label", "rule_offset", "baseline_logit", "features", "feature_names", "split"}
     main(["evaluate", "--input", corpus(tmp_path)])
     assert json.loads(capsys.readouterr().out)["spam"]["positive"] == 4
 
