@@ -33,10 +33,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(16, cores) else df
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder if it exists."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def written_beside(df: DataFrame, path: str) -> str:
-    """Writes ``df`` as JSON lines beside ``path`` and returns where."""
+    """Writes ``df`` as JSON lines beside ``path`` and returns where; leaves nothing there if that fails."""
     new = f"{path}.new-{uuid.uuid4().hex[:8]}"
-    df.write.option("ignoreNullFields", False).json(new)
+    try:
+        df.write.option("ignoreNullFields", False).json(new)
+    except Exception:
+        removed(df.sparkSession, new)
+        raise
     return new
 
 
@@ -93,8 +103,7 @@ def refresh(frames: dict[str, DataFrame], least_rows: int = 1, provenance: str |
             raise ValueError(f"too few records for {', '.join(short)}")
     except Exception:
         for fresh in new.values():
-            to = spark._jvm.org.apache.hadoop.fs.Path(fresh)
-            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+            removed(spark, fresh)
         raise
     swap(spark, new)
     if provenance:

@@ -70,3 +70,31 @@ def test_sizes(spark):
 def test_key_list(spark):
     r = spark.createDataFrame([(" a = b=c ,, d",)], "v string").select(limits.parse_key_list(F.col("v"))).first()[0]
     assert [tuple(x) for x in r] == [("a", "b=c"), ("d", None)]
+
+
+def test_credentials_are_refused_as_a_whole(spark):
+    schema = "row long, tenant string, api_key string"
+    good = spark.createDataFrame([(1, "a", "k" * 32)], schema)
+    assert limits.check_credentials(good).count() == 1
+    for rows, per_minute, message in ((spark.createDataFrame([], schema), 1, "no credentials"), (good, 0, "positive"), (spark.createDataFrame([(1, "a", "short")], schema), 1, "too_short")):
+        with pytest.raises(ValueError, match=message):
+            limits.check_credentials(rows, per_minute)
+
+
+def test_counts_that_need_more_than_a_counter_raise(spark, monkeypatch):
+    votes = spark.createDataFrame([(k, f"t{k}", 1, "spam") for k in range(4)], "seq long, tenant string, fp long, verdict string")
+    assert feedback.unpacked(feedback.aggregates(votes)).first() == (1, 4, 0)
+    monkeypatch.setattr(feedback, "MOST", 3)
+    with pytest.raises(Exception, match="more votes"):
+        feedback.aggregates(votes).collect()
+
+
+def test_modes():
+    from siftwell.operators.config import mode_of
+
+    assert not mode_of({}).hosted and not mode_of({"mode": "self-hosted", "stores": "x"}).hosted
+    own = mode_of({"mode": "hosted", "secret": "s", "keys": "a=b", "rate_limit_per_minute": "7"})
+    assert own.hosted and own.per_minute == 7 and own.network == "stores-network"
+    for bad in ({"mode": "other"}, {"mode": "hosted", "keys": "a=b"}, {"mode": "hosted", "secret": "s"}, {"mode": "hosted", "secret": "s", "keys": "a=b", "rate_limit_per_minute": "0"}, {"mode": "hosted", "secret": "s", "keys": "a=b", "rate_limit_per_minute": "x"}):
+        with pytest.raises(ValueError):
+            mode_of(bad)

@@ -1,3 +1,4 @@
+import ipaddress
 import random
 
 import pytest
@@ -44,3 +45,44 @@ def test_near_pairs_equal_brute_force(spark):
     got = {(r.l, r.r, r.distance) for r in fp.near_pairs(df, df.withColumnRenamed("l", "r")).collect()}
     want = {(a, b, ((a ^ b) & fp.FULL).bit_count()) for a in own for b in own if ((a ^ b) & fp.FULL).bit_count() <= 3}
     assert got == want and len(want) > len(own)
+
+
+def test_many_hashes_equal_single_ones():
+    rng = random.Random(3)
+    data = [rng.randbytes(n) for n in (0, 1, 7, 8, 9, 15, 16, 23, 24, 100) for _ in range(5)]
+    assert fp.siphash13_many(data, 5, 6).tolist() == [fp.siphash13(d, 5, 6) for d in data]
+    assert fp.siphash13_many([]).tolist() == []
+
+
+def test_keyed_column_equals_single_values(spark):
+    values = [0, 1, -1, 0x1122334455667788, None, -(1 << 63)]
+    secret = "test-network-secret-with-at-least-32-bytes"
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, fp long").select("k", fp.network_fp_sip(F.col("fp"), secret).alias("n")).orderBy("k").collect()
+    assert [r.n for r in got] == [None if v is None else fp.signed(fp.network_fingerprint(v, secret.encode())) for v in values]
+
+
+def test_network_keys_equal_plain_parsing(spark):
+    cases = ["::", "::1", "1::", "2001:db8:1::5", "2001:DB8:0001:0:0:0:0:1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1.2.3.4", "0:00:000:1::"]
+    cases += [":1::2", "1::2::3", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7", "12345::", "g::", "1:2:3:4:5:6:7:8::", "::1%eth0", "1.2.3", "1.2.3.256", "01.2.3.4", "::1.2.3.256", "::1.2.3.4:5", "", " ::1", ":::", "1:::2", None]
+
+    def plain(ip):
+        try:
+            own = ipaddress.ip_address(ip or "")
+        except ValueError:
+            return None
+        if getattr(own, "scope_id", None):
+            return None
+        return ".".join(str(own).split(".")[:3]) if own.version == 4 else ":".join(f"{int(g, 16):x}" for g in own.exploded.split(":")[:3])
+
+    got = spark.createDataFrame([(k, ip) for k, ip in enumerate(cases)], "k int, ip string").select("k", fp.ip_key(F.col("ip")).alias("key")).orderBy("k").collect()
+    assert [(ip, r.key) for ip, r in zip(cases, got)] == [(ip, plain(ip)) for ip in cases]
+
+
+@pytest.mark.parametrize("parts", [4, 6, 8])
+def test_near_pairs_by_any_number_of_parts(spark, parts):
+    rng = random.Random(parts)
+    base = [rng.getrandbits(60) for _ in range(40)]
+    own = list({x ^ sum({1 << rng.randrange(60) for _ in range(k % 5)}) for k in range(5) for x in base})
+    df = spark.createDataFrame([(x,) for x in own], "l long")
+    got = sorted((r.l, r.r) for r in fp.near_pairs(df, df.withColumnRenamed("l", "r"), bits=60, parts=parts).collect())
+    assert got == sorted((a, b) for a in own for b in own if (a ^ b).bit_count() <= 3)

@@ -90,3 +90,47 @@ def test_trained_residual_is_affine(spark):
     x = [math.log1p(3), math.log1p(1), 1 / 3, 0.25, 1.0, 2.0, 5.0]
     want = PARAMS["intercept"] + sum((a - m) / s * w for a, m, s, w in zip(x, PARAMS["means"], PARAMS["scales"], PARAMS["weights"]))
     assert df.select(scoring.residual(PARAMS)).first()[0] == pytest.approx(want, abs=1e-12)
+
+
+SECRET = "a-network-secret-that-is-long-enough"
+
+
+@pytest.mark.parametrize("kind", ["md5", "sip"])
+def test_hosted_scores_take_the_larger(spark, kind):
+    texts = ["own words only", "words of the network", "words of both stores", "words nobody knows"]
+    prints = [fp.simhash(t, kind) for t in texts]
+    keyed = [fp.signed(fp.network_fingerprint(p, SECRET.encode())) for p in prints]
+    own = scoring.Stores(
+        spark.createDataFrame([], "domain string"), spark.createDataFrame([], "key string, score double"), spark.createDataFrame([], "domain string, score double"),
+        spark.createDataFrame([(prints[0], 0.7), (prints[2], 0.6)], "fp long, score double"), kind=kind,
+        network=spark.createDataFrame([(keyed[1], 0.8), (keyed[2], 0.9), (prints[3], 1.0)], "fp long, score double"), secret=SECRET,
+    )
+    got = {r.text: r.fp_score for r in scoring.assess(spark.createDataFrame([(t,) for t in texts], "text string"), own).collect()}
+    assert got == {texts[0]: 0.7, texts[1]: 0.8, texts[2]: 0.9, texts[3]: None}
+
+
+def test_ipv6_networks_fire(spark):
+    own = scoring.Stores(spark.createDataFrame([], "domain string"), spark.createDataFrame([("2001:db8:1", 0.9)], "key string, score double"), spark.createDataFrame([], "domain string, score double"), spark.createDataFrame([], "fp long, score double"))
+    asked = spark.createDataFrame([("a", "2001:0DB8:1:ffff::7"), ("b", "2001:db8:2::7"), ("c", "203.0.113.7"), ("d", None)], "text string, ip string")
+    assert {r.text: r.reasons for r in scoring.assess(asked, own).collect()} == {"a": ["ip_reputation_bad"], "b": [], "c": [], "d": []}
+
+
+def test_fingerprints_are_computed_in_two_places_at_most(spark):
+    plan = scoring.assess(one(spark, "some words", email="x@bad.example", ip="203.0.113.200"), stores(spark, 0.9))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("simhash_md5(") <= 2 and plan.count("char_entropy(") <= 2
+
+
+def test_stores_are_seeded_and_updated(spark, tmp_path):
+    from siftwell.operators.stores import open_stores, upserted
+
+    folder = str(tmp_path)
+    names = spark.createDataFrame([(" bad.example ",), ("# no",), ("",), ("Upper.example",)], "value string")
+    ranges = spark.createDataFrame([("203.0.113 0.9",), ("# 1.2.3 0.4",)], "value string")
+    for _ in range(2):  # opening again changes nothing
+        got = open_stores(spark, folder, names, ranges)
+        assert {r[0] for r in got.disposable.collect()} == {"bad.example", "Upper.example"} and [tuple(r) for r in got.ips.collect()] == [("203.0.113", 0.9)]
+        assert got.fingerprints.count() == 0 and got.network is None
+    upserted(spark, folder, "ips", spark.createDataFrame([("203.0.113", 0.4), ("203.0.114", 0.3), ("203.0.114", 0.6), (None, 1.0)], "key string, score double"))
+    assert {tuple(r) for r in open_stores(spark, folder).ips.collect()} == {("203.0.113", 0.4), ("203.0.114", 0.6)}
+    upserted(spark, folder, "network", spark.createDataFrame([(7, 0.5)], "fp long, score double"))
+    assert open_stores(spark, folder, secret=SECRET).network.count() == 1

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import zipfile
 
 import pytest
 
@@ -94,3 +95,36 @@ def test_requests(spark):
     values = ['{"text":"a","author_ip":"::1","more":1}', '{"text":"a","author_ip":"nope"}', '{"context":"forum"}', '{"text":"a","context":"forum"}']
     got = [(r.context, r.ok) for r in readers.decoded_requests(lines(spark, values)).orderBy("line").collect()]
     assert got == [("other", True), ("other", False), ("forum", False), ("forum", True)]
+
+
+def test_refresh_is_whole_and_noted(spark, tmp_path):
+    a, b, note = (str(tmp_path / x) for x in ("a", "b", "provenance"))
+    assert sinks.refresh({a: spark.range(3), b: spark.range(4)}, provenance=note, notes={a: {"url": "https://x"}}) == {a: 3, b: 4}
+    assert {(r.path, r.records, r.notes) for r in spark.read.json(note).collect()} == {(a, 3, '{"url": "https://x"}'), (b, 4, "{}")}
+    fails = spark.range(9).selectExpr("raise_error('source lost') AS x")
+    with pytest.raises(Exception, match="source lost"):
+        sinks.refresh({a: spark.range(8), b: fails})
+    assert spark.read.json(a).count() == 3 and spark.read.json(b).count() == 4 and sorted(os.listdir(tmp_path)) == ["a", "b", "provenance"]
+
+
+def test_a_failed_rename_restores_the_old_result(spark, tmp_path):
+    a, b = (str(tmp_path / x) for x in ("a", "b"))
+    sinks.write_json(spark.range(3), a)
+    sinks.write_json(spark.range(4), b)
+    with pytest.raises(Exception):
+        sinks.swap(spark, {a: sinks.written_beside(spark.range(9), a), b: str(tmp_path / "absent")})
+    assert spark.read.json(a).count() == 3 and spark.read.json(b).count() == 4
+
+
+def test_members_of_zip_files(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "sms.zip", "w") as z:
+        z.writestr("SMSSpamCollection", "ham\thello\r\n\nspam\twin\tnow\nodd line\n")
+        z.writestr("readme", "ham\tnot this\n")
+    got = readers.labelled_tsv_zip(spark, str(tmp_path / "sms.zip"), "sms").orderBy("id").collect()
+    assert [(r.id, r.text, r.spam, r.error) for r in got] == [("sms:1", "hello", False, None), ("sms:3", "win\tnow", True, None), ("sms:4", None, None, "bad_line")]
+    with zipfile.ZipFile(tmp_path / "yt.zip", "w") as z:
+        z.writestr("x/Youtube02.csv", "\ufeffCOMMENT_ID,CONTENT,CLASS\nb,plain,0\n")
+        z.writestr("x/Youtube01.csv", '\ufeffCOMMENT_ID,AUTHOR,CONTENT,CLASS\na,me,"two\nlines, ""quoted""",1\n')
+        z.writestr("x/notes.csv", "COMMENT_ID\nq\n")
+    got = {(r.id, r.text, r.spam) for r in readers.comment_zip(spark, str(tmp_path / "yt.zip"), "yt").collect()}
+    assert got == {("yt:Youtube01:a", 'two\nlines, "quoted"', True), ("yt:Youtube02:b", "plain", False)}

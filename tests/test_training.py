@@ -64,3 +64,37 @@ def test_invalid_rows(spark):
 def test_params_are_checked():
     with pytest.raises(ValueError):
         training.check_params({"means": [0.0] * 7, "scales": [0.0] * 7, "weights": [0.0] * 7, "intercept": 0.0})
+
+
+def test_models_are_written_read_and_checked(spark, tmp_path):
+    path, params = str(tmp_path / "model"), {"l2": 0.1, "means": [0.5] * 7, "scales": [2.0] * 7, "weights": [0.1 * k for k in range(7)], "intercept": -0.3}
+    x = [1.0] * 7
+    z = -0.3 + sum((1.0 - 0.5) / 2.0 * 0.1 * k for k in range(7))
+    training.write_model(spark, path, params, {"parity_vectors": [{"id": "a", "features": x, "residual_logit": z}], "default_eligible": True}, "own", "a command", [{"id": "s"}])
+    got, metadata = training.read_model(spark, path)
+    assert got == params and metadata["default_eligible"] and metadata["command"] == "a command" and metadata["versions"]["pyspark"] == spark.version
+    training.write_model(spark, path, params, {"parity_vectors": [{"id": "a", "features": x, "residual_logit": z + 1}]}, "own", "")
+    with pytest.raises(ValueError, match="gives"):
+        training.read_model(spark, path)
+    from siftwell.sources.sinks import write_json
+
+    row = spark.createDataFrame([("own", (0.1, [0.0] * 7, [1.0] * 7, [0.0] * 7, 0.0), "0" * 64, list(training.MODEL_INPUTS), "{}")], training.MODEL)
+    write_json(row, path)
+    with pytest.raises(ValueError, match="changed"):
+        training.read_model(spark, path)
+
+
+def test_rows_of_several_files(spark, tmp_path):
+    from siftwell.sources.sinks import write_json
+
+    def part(name, ids, names=training.MODEL_INPUTS):
+        rows = [(f"{k}", "s", [float(k)] * 7, list(names), 0.0, k % 2 == 0) for k in ids]
+        write_json(spark.createDataFrame(rows, "id string, source string, features array<double>, feature_names array<string>, rule_offset double, label boolean"), str(tmp_path / name))
+        return str(tmp_path / name)
+
+    a, b = part("a", range(3)), part("b", range(3, 7))
+    assert training.load_rows(spark, [a, b]).count() == 7
+    with pytest.raises(ValueError, match="repeated"):
+        training.load_rows(spark, [a, part("c", [1])])
+    with pytest.raises(ValueError, match="other inputs"):
+        training.load_rows(spark, [a, part("d", [9], training.MODEL_INPUTS[::-1])])
