@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 from siftwell.llm import secrets as s
+from siftwell.llm.common import table
 from tests.llm.helpers import documents, empty, prose, rows
 
 PLAIN = [
@@ -37,6 +39,49 @@ def test_method_adds_random_strings_only(spark):
     assert sum(r.n_random for k, r in by_id.items() if k is not None and k < 1000) == 0
 
 
+def test_keys_are_found_beside_paths_known_secrets_and_without_digits(spark):
+    rng = random.Random(7)
+    key = lambda n, c=s.string.ascii_letters + s.string.digits: "".join(rng.choice(c) for _ in range(n))
+    cases = [f"/some/long/path/of/files/{(a := key(24))}", f"long_setting_name={(b := key(30))}", (c := key(40, s.string.ascii_letters)), f"AKIA{'A1' * 8}_{(d := key(32))}", f"{'0a' * 20}-{(e := key(28))}"]
+    docs = [(k, f"{prose(rng, 10)} {x} {prose(rng, 5)}", "en", "a", 0) for k, x in enumerate(cases)]
+    got = {r.doc_id: r for r in s.secret_spans(documents(spark, rows() + [(1000 + r[0], *r[1:]) for r in docs])).collect()}
+    for (k, text, *_), want in zip(docs, (a, b, c, d, e)):
+        spans = [x.split(":") for x in got[1000 + k].spans.split(",")]
+        assert any(kind == "random" and want in text[int(i) : int(j)] for kind, i, j in spans), (text, spans)
+    assert got[1003].n_access == 1 and got[1004].n_hex == 1
+
+
+def test_precision_and_recall_on_made_strings(spark):
+    # Held-out random strings over several alphabets, and identifiers of other words in the usual spellings.
+    rng = random.Random(12)
+    ratio = s.fitted(documents(spark))
+    alphabets = [s.string.ascii_letters + s.string.digits, s.string.ascii_letters + s.string.digits + "+/", s.string.ascii_letters, s.string.ascii_lowercase + s.string.digits, s.string.ascii_uppercase + s.string.digits, "0123456789ABCDEF"]
+    keys = ["".join(rng.choice(alphabets[k % 6]) for _ in range(rng.randint(20, 48))) for k in range(600)]
+    names = [x for _ in range(60) for x in s.identifiers(["".join(prose(rng, 3)).replace(" ", "").replace(",", "").replace(".", "") for _ in range(8)])]
+    names += ["".join(rng.choice("0123456789") for _ in range(rng.randint(16, 40))) for _ in range(100)]
+    found, wrong = (sum(bool(ratio.spans(x, [])) for x in group) for group in (keys, names))
+    assert found >= 0.95 * len(keys) and wrong <= 0.02 * len(names)
+
+
+def test_many_spans_take_linear_time():
+    ratio = s.Ratio(s.np.zeros((len(s.ALPHABET) + 1, len(s.ALPHABET))))
+    text = " ".join(f"token=abcdefgh{k:08d} " + "x" * 20 for k in range(60_000))
+    began = time.process_time()
+    base = s.base_spans(text)
+    assert len(base) == 60_000 and ratio.spans(text, base) == []
+    assert time.process_time() - began < 10
+
+
+def test_query_covers_every_document(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in s.op3_secrets(spark, d).collect()}
+    docs = {r.doc_id: r.text for r in table(spark, d, "documents").collect()}
+    assert got.keys() == docs.keys()
+    for k, text in docs.items():
+        own = plain(text)
+        assert got[k].base_sha256 == hashlib.sha256(own.encode()).hexdigest() and set(own.split(",")) - {""} <= set(got[k].spans.split(","))
+
+
 def test_spans_are_redacted(spark):
     docs = documents(spark, [(1, "my token=abcdefgh12 stays", "", "", 0), (2, None, "", "", 0), (3, "fine", "", "", 0)])
     got = {r.doc_id: r.text for r in s.redact(docs).collect()}
