@@ -7,7 +7,9 @@ over an unwanted payload without inflating it.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from siftwell.llm.common import shared_dir, table, written
+from siftwell.llm.common import shared_dir, spread, table, written
 
 #: Payload bytes from which equal payloads are written once and revisited.
 LEAST_BYTES = 1000
 #: Bytes that a file is closed after, bytes of files that a read partition holds at least, and a read's step.
 FILE_BYTES, PARTITION_BYTES, STEP = 1 << 30, 32 << 20, 1 << 16
+#: Repeated payloads up to which their digests are broadcast, about 60 bytes each.
+SENT_ROWS = 1 << 20
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 NAMES = {"record_type": "warc-type", "target_uri": "warc-target-uri", "record_id": "warc-record-id", "refers_to": "warc-refers-to"}
@@ -52,7 +56,7 @@ def member(data: bytes) -> bytes:
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    extra = b"sl" + struct.pack("<HII", 8, size, len(data)) if max(size, len(data)) < 1 << 32 else b""  # longer ones have none
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -88,7 +92,10 @@ class Plain:
 
 
 class Members:
-    """The same of a file of gzip members; ``finish`` jumps to the next member where skip lengths tell."""
+    """The same of a file of gzip members, of one record or several each.
+
+    ``finish`` jumps to the next member where skip lengths tell that the record is the last of its own.
+    """
 
     def __init__(self, file):
         self.file, self.at, self.size = file, 0, file.size()
@@ -99,21 +106,24 @@ class Members:
         head = self.file.read(12)
         if head[:2] != b"\x1f\x8b":
             raise ValueError(f"no gzip member at byte {self.at}")
-        flags, skip, self.next = head[3], 10, None
+        flags, skip, self.next, self.whole = head[3], 10, None, None
         if flags & 4:
             extra = self.file.read(n := struct.unpack("<H", head[10:12])[0])
             skip = 12 + n
-            if extra[:2] == b"sl":
-                self.next = self.at + struct.unpack("<HII", extra[2:12])[1]
-        self.file.seek(self.at + skip)
-        self.left = b""
+            while len(extra) >= 4:
+                k = struct.unpack("<H", extra[2:4])[0]
+                if extra[:2] == b"sl" and k == 8:
+                    packed, self.whole = struct.unpack("<II", extra[4:12])
+                    self.next = self.at + packed
+                extra = extra[4 + k :]
         if flags & 24:  # a name or a comment, each up to a zero byte
+            self.file.seek(self.at + skip)
             rest = self.file.read(STEP)
             for _ in range(bin(flags & 24).count("1")):
                 cut = rest.index(b"\0") + 1
                 skip, rest = skip + cut, rest[cut:]
-            self.file.seek(self.at + skip)
-        self.raw, self.inflate, self.done = self.at + skip, zlib.decompressobj(-15), b""
+        self.file.seek(self.at + skip + (2 if flags & 2 else 0))  # the header's own checksum
+        self.inflate, self.done, self.used = zlib.decompressobj(-15), bytearray(), 0
 
     def grow(self) -> bool:
         if self.inflate.eof:
@@ -125,31 +135,48 @@ class Members:
         return True
 
     def until(self, mark: bytes) -> bytes:
-        self.open()
+        if self.inflate is None:
+            self.open()
         while mark not in self.done:
             if not self.grow():
                 return b""
-        cut = self.done.index(mark) + len(mark)
-        found, self.done = self.done[:cut], self.done[cut:]
-        return found
+        return self.take(self.done.index(mark) + len(mark))
 
     def take(self, n: int) -> bytes:
         while len(self.done) < n and self.grow():
             pass
-        found, self.done = self.done[:n], self.done[n:]
+        found = bytes(self.done[:n])
+        del self.done[:n]
+        self.used += len(found)
         return found
 
     def finish(self, n: int) -> None:
-        if self.next is None:
-            while self.grow():
-                self.done = b""
-            self.next = self.file.tell() - len(self.inflate.unused_data) + 8
-        self.at = self.next
+        if self.next is not None and self.whole == self.used + n + 4:
+            self.at, self.inflate = self.next, None
+            return
+        left = n + 4
+        while left and (self.done or self.grow()):
+            left -= len(self.take(min(left, STEP, len(self.done))))
 
     def more(self) -> bool:
+        if self.inflate is not None:
+            while not self.done and self.grow():
+                pass
+            if self.done:
+                return True
+            self.at = self.file.tell() - len(self.inflate.unused_data) + 8 if self.next is None else self.next
+            self.inflate = None
         return self.at < self.size
 
 
+def hex_digest(value: str | None) -> str | None:
+    """A payload's SHA-1 in hexadecimal, whether the header has it so or in base 32; other digests as they are."""
+    bare = (value or "").removeprefix("sha1:")
+    if re.fullmatch("[A-Z2-7]{32}", bare):
+        return base64.b32decode(bare).hex()
+    return bare or None
+
+
 def records(file, compressed: bool, wanted, payload: str) -> Iterator[tuple]:
     """Rows of SCHEMA of a file's records whose headers ``wanted`` accepts.
 
@@ -166,7 +193,7 @@ def records(file, compressed: bool, wanted, payload: str) -> Iterator[tuple]:
         if not wanted(headers):
             source.finish(length)
             continue
-        digest, size, body = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, headers.get("x-payload-length"), None
+        digest, size, body = hex_digest(headers.get("warc-payload-digest")), headers.get("x-payload-length"), None
         if payload != "skip" and headers.get("warc-type") != "revisit":
             body = source.take(length)
             source.finish(0)
@@ -316,14 +343,17 @@ def as_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """The rows that WarcWriter takes, one for each row of ``pages`` (page_id, url, html).
 
     Of the pages with one payload of ``least_bytes`` or more, those with the largest page_id are responses and the
-    others revisit it; all others are responses. Only hashes are grouped; a payload that many pages share adds
-    partial maxima, not rows, to one task.
+    others revisit it; all others are responses. Rows without a page_id revisit one that has it, repeated rows of the
+    largest id are responses all; null html is an empty payload; payloads of any size are kept whole; an empty table gives
+    no rows; other columns are ignored, whatever their names. Only hashes are grouped; a payload that many pages share
+    adds partial maxima, not rows, to one task. Up to SENT_ROWS repeated payloads are known by a broadcast of their
+    digests, so that html stays where it is; more are joined.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     hashed = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"))
     large = F.octet_length("payload") >= least_bytes
     same = written(hashed.where(large).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1 AND first IS NOT NULL").select("payload_digest", "first"), "same")
-    joined = hashed.join(same, "payload_digest", "left")
+    joined = hashed.join(F.broadcast(same) if same.count() <= SENT_ROWS else same, "payload_digest", "left")
     again = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     return joined.select(urn(F.col("page_id")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"), F.when(again, urn(F.col("first"))).alias("refers_to"), "payload_digest", "payload")
@@ -349,7 +379,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     Pages without an id come back with a null one, as do references to none; repeated pages give repeated records.
     """
     path = shared_dir(spark, "warc")
-    archive(table(spark, sf_dir, "pages"), path)
+    archive(spread(table(spark, sf_dir, "pages")), path)
     found = read_archive(spark, path, payload="digest", headers="false")
     page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     return found.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))

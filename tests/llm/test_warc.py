@@ -50,6 +50,35 @@ def test_other_writers_members_are_read(spark, tmp_path):
     assert warc.read_archive(spark, f"file://{tmp_path}", recordTypes="metadata").count() == 1
 
 
+def test_members_of_several_records_are_read_whole(spark, tmp_path):
+    made = [warc.record("response", f"urn:x:{k}", "http://a", b"hello" * (k * 9000 + 1), "0" * 40, None, "2020-01-01T00:00:00Z") for k in range(5)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(made[:3])) + gzip.compress(made[3]) + warc.member(made[4]))
+    for options in ({}, {"payload": "skip"}):
+        got = warc.read_archive(spark, f"file://{tmp_path}", **options).orderBy("record_id").collect()
+        assert [r.record_id for r in got] == [f"urn:x:{k}" for k in range(5)]
+        assert options or [len(r.payload) for r in got] == [5 * (k * 9000 + 1) for k in range(5)]
+
+
+def test_header_flags_and_digests_of_other_writers(spark, tmp_path):
+    import zlib
+
+    one = warc.record("revisit", "urn:x:1", "http://a", b"", "OU4AQAOBVAQZ6YKAM5PTCYYZF5BL2ZIC", "urn:x:0", "2020-01-01T00:00:00Z")
+    packed = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packed.compress(one) + packed.flush()
+    extra = b"ab" + warc.struct.pack("<H", 3) + b"xyz"
+    head = b"\x1f\x8b\x08" + bytes([2 | 4 | 8]) + b"\0" * 4 + b"\0\xff" + warc.struct.pack("<H", len(extra)) + extra + b"name\0" + b"\1\2"
+    (tmp_path / "b.warc.gz").write_bytes((head + body + warc.struct.pack("<II", zlib.crc32(one), len(one))) * 2)
+    got = warc.read_archive(spark, f"file://{tmp_path}").collect()
+    assert len(got) == 2 and all(r.record_id == "urn:x:1" and r.payload_digest == warc.base64.b32decode("OU4AQAOBVAQZ6YKAM5PTCYYZF5BL2ZIC").hex() for r in got)
+
+
+def test_many_repeated_payloads_are_joined(spark, monkeypatch):
+    df = pages(spark)
+    want = sorted(map(str, warc.as_records(df).collect()))
+    monkeypatch.setattr(warc, "SENT_ROWS", 0)
+    assert sorted(map(str, warc.as_records(df).collect())) == want
+
+
 def test_members_are_standard_gzip():
     assert gzip.decompress(warc.member(b"abc" * 1000)) == b"abc" * 1000
 
