@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table over all cores if it is read in fewer than 16 tasks, as one row group of one file is.
+
+    Such a table is small, so that moving its rows costs less than working on them in one task; larger ones stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(16, cores) else df
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which the driver and all executors share.
 

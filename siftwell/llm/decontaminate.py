@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import BATCH_ROWS, table, written
+from siftwell.llm.common import BATCH_ROWS, spread, table, written
 
 #: Fixed masks of five selected words; the positions at 0 are ignored and so may differ.
 MASKS = ("11111", "111011", "110111", "1101011", "1110011")
@@ -338,4 +338,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every overlap of a document with a benchmark item: the documents to remove, with the evidence."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "first_word", "last_word", "equal_words", F.lit(True).alias("contaminated"))
+    return contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "first_word", "last_word", "equal_words", F.lit(True).alias("contaminated"))

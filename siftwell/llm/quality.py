@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import map_arrow, table, written
+from siftwell.llm.common import map_arrow, spread, table, written
 from siftwell.llm.labelled import best_cut, fit_labels, held_out, logistic, sigmoid
 
 #: Preference pairs that the ranking is fitted on at most, drawn with a fixed seed from the fitted rows' good and bad ones.
@@ -110,7 +110,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, remaind
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import BATCH_ROWS, smallest, table
+from siftwell.llm.common import BATCH_ROWS, smallest, spread, table
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: What every assignment contains, found faster than the keyword.
@@ -242,4 +242,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every document."""
-    return secret_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+    return secret_spans(spread(table(spark, sf_dir, "documents"))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import vptree
-from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components, components_marked, grid, map_arrow, smallest, table, written
+from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components, components_marked, grid, map_arrow, smallest, spread, table, written
 
 #: Fingerprints that vantage points are chosen from at most, and leaves of a fitted tree; beyond them leaves go on by
 #: implied points.
@@ -364,7 +364,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: i
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
-    found = simhash_components(table(spark, sf_dir, "documents"))
+    found = simhash_components(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

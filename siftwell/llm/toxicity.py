@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import map_arrow, table, written
+from siftwell.llm.common import map_arrow, spread, table, written
 from siftwell.llm.labelled import fit_labels, held_out, logistic, sigmoid
 
 #: Units (words and word beginnings) of the model at most, those of largest |z|.
@@ -262,4 +262,4 @@ def toxic_passages(docs: DataFrame, model: Model, p: float = 1e-3) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_scores(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))

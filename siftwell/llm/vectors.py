@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, FloatType
 
-from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components_marked, dealt_rows, grid, table, written
+from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components_marked, dealt_rows, grid, spread, table, written
 
 #: Buckets of a table that a vector looks into, and hash tables at least and for each rotation of a hash.
 PROBES, TABLES, TABLES_A_SPIN = 4, 8, 4
@@ -221,7 +221,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sound = F.col("label").isNotNull() & x.isNotNull() & F.exists(x, lambda v: v != 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.select("vec_id", x.alias("embedding"), "label", F.coalesce(sound, F.lit(False)).alias("sound"))
     groups = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
-    groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    groups = spread(written(groups.withColumn("node", F.monotonically_increasing_id()), "vectors"))
     found = checkpointed(links(groups, cosine))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     rooted = components_marked(found.select(F.col("node").alias("a"), F.col("root").alias("b")), groups, "node")
