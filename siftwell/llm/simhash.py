@@ -18,9 +18,9 @@ from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components,
 #: implied points.
 SAMPLE, LEAVES = 32_768, 4_096
 #: Fingerprints at home in a leaf that the trees of ``links`` and of ``near_links`` aim at, and rows of a block of a task.
-LEAF_ROWS, NEAR_LEAF_ROWS, BLOCK_ROWS, NEAR_BLOCK_ROWS = 1_024, 16_384, 8_192, 65_536
+LEAF_ROWS, NEAR_LEAF_ROWS, BLOCK_ROWS, NEAR_BLOCK_ROWS = 1_024, 65_536, 8_192, 131_072
 #: Share of the pairs at the bound that all tables of ``near_links`` may miss, and chance partners of a node in a table.
-MISS, CROWD = 0.01, 256
+MISS, CROWD = 0.0005, 256
 #: Odd multipliers from which a shingle's further 64-bit hashes are mixed.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 NODE = "node long, fp long, v1 long, v2 long, v3 long, n long"
@@ -151,19 +151,25 @@ def chances(n: int, p: float) -> np.ndarray:
     return np.exp(log)
 
 
-def key_tables(n: int, share: float) -> tuple[int, int]:
-    """(bits of a key, tables) for ``n`` nodes and a pair whose 256 bits differ by ``share`` each.
+def key_tables(n: int, share: float) -> tuple[int, int, int]:
+    """(shard bits, other bits of a key, tables) for ``n`` nodes and a pair whose 256 bits differ by ``share`` each.
 
-    Keys are long enough that a node has about CROWD chance partners within a bit in a table; tables are as many as it
-    takes for a share MISS of such pairs at most to be further than a bit apart in all of them.
+    Partners in a table have equal shard bits and differ in one other bit at most. Shard bits are as many as the leaves
+    of a table's tree need; a key is long enough that a node has about CROWD chance partners in a table; tables are as
+    many as it takes for a share MISS of such pairs at most to be no partners in all of them.
     """
-    bits = next(w for w in range(8, 64) if n * (w + 1) <= CROWD << w)
+    leaves, more = fitted_leaves(n, NEAR_LEAF_ROWS)
+    depth = leaves.bit_length() - 1 + more
+    shard = depth + 2 if depth else 0
+    rest = next(b for b in range(4, 64 - shard) if n * (b + 1) <= CROWD << (shard + b))
+    bits = shard + rest
     pick = lambda of, k: lgamma(of + 1) - lgamma(k + 1) - lgamma(of - k + 1)
-    close = [sum(np.exp(pick(d, k) + pick(256 - d, bits - k) - pick(256, bits)) for k in (0, 1) if k <= d and bits - k <= 256 - d) for d in range(257)]
+    differ = lambda d, k: np.exp(pick(d, k) + pick(256 - d, bits - k) - pick(256, bits)) if k <= d and bits - k <= 256 - d else 0.0
+    close = np.array([differ(d, 0) + differ(d, 1) * rest / bits for d in range(257)])
     law, tables = chances(256, share), 1
     while law @ (1 - np.minimum(1, close)) ** tables > MISS:
         tables += 1
-    return bits, tables
+    return shard, rest, tables
 
 
 def key_of(words: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -174,46 +180,42 @@ def key_of(words: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return out
 
 
-def within_a_bit(homes: np.ndarray, members: np.ndarray, bits: int):
-    """Yields (first, many) for each home: where in the sorted ``members`` its partners at no or one certain bit stand."""
-    for flip in [0, *(1 << k for k in range(bits))]:
-        key = homes ^ np.uint64(flip)
-        first = np.searchsorted(members, key, "left")
-        yield first, np.searchsorted(members, key, "right") - first
-
-
 def near_links(nodes: DataFrame, similarity: float, wide: int, share: float) -> DataFrame:
     """Candidate edges (a, b) that connect nodes whose 256 bits lie within ``wide`` and whose shingle counts n allow
-    ``similarity``, as far as they are within a bit in the key of some table (see ``key_tables``).
+    ``similarity``, as far as they are partners in some table (see ``key_tables``).
 
-    Each table has a vantage-point tree of its keys, whose triangle bounds at a radius of one bit prune well; homes
-    meet the members of their leaf. Edges are a spanning forest of what each task finds; members of a bucket that are
-    connected already aren't compared again.
+    Each table has a vantage-point tree over the shard bits of its keys. Partners differ in none of these, so the triangle
+    bounds leave one shard for each node, and copies of its row don't grow with the table. Within a shard, sorted keys
+    are looked up with each other bit flipped. Edges are a spanning forest of what each task finds; members of a
+    bucket that are connected already aren't compared again. A large shard is dealt into blocks that meet one another.
     """
     n = nodes.count()
-    (leaves, more), (bits, tables) = fitted_leaves(n, NEAR_LEAF_ROWS), key_tables(n, share)
+    (leaves, more), (shard, rest, tables) = fitted_leaves(n, NEAR_LEAF_ROWS), key_tables(n, share)
+    low = np.uint64((1 << shard) - 1)
     rng = np.random.default_rng(4)
-    positions = [np.sort(rng.permutation(256)[:bits]) for _ in range(tables)]
+    positions = [rng.permutation(256)[: shard + rest] for _ in range(tables)]
     words = ["fp", "v1", "v2", "v3"]
     sample = sampled(nodes, words)
-    trees = [vptree.build(key_of(sample, at), None, 1, leaves, seed=t) for t, at in enumerate(positions)]
+    trees = [vptree.build(key_of(sample, at) & low, None, 0, leaves, seed=t) for t, at in enumerate(positions)]
 
     def routed(batches):
         for batch in batches:
             own = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
             for t, (tree, at) in enumerate(zip(trees, positions)):
                 keys = key_of(own, at)
-                for leaf, home, visit in vptree.route(tree, keys, more, None, 1, bits):
-                    rows = np.concatenate([home, visit])
-                    x, k = batch.take(pa.array(rows)), len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, t, np.int32)), pa.array(np.full(k, leaf, np.int64)), pa.array(np.arange(k) < len(home)), pa.array(keys[rows].view(np.int64)), *x.columns], ["tree", "leaf", "home", "key", "id", *words, "n"])
+                for leaf, home, _ in vptree.route(tree, keys & low, more, None, 0, shard):
+                    x, k = batch.take(pa.array(home)), len(home)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, t, np.int32)), pa.array(np.full(k, leaf, np.int64)), pa.array(keys[home].view(np.int64)), *x.columns], ["tree", "leaf", "key", "id", *words, "n"])
 
     def linked(key, group):  # no annotations: Spark would read them
         group = group.combine_chunks().sort_by([("key", "ascending"), ("fp", "ascending")])
-        col = {c: group.column(c).to_numpy() for c in ("id", "key", "n", "as_home")}
+        col = {c: group.column(c).to_numpy() for c in ("id", "key", "n", "own")}
         bits_of = np.stack([group.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
-        own, at = np.unique(col["id"], return_inverse=True)
-        homes, members, forest = np.flatnonzero(col["as_home"]), np.flatnonzero(~col["as_home"]), Forest(len(own))
+        order = np.argsort(col["id"], kind="stable")
+        own, at = col["id"][order], np.argsort(order, kind="stable")
+        forest, within = Forest(len(own)), key[2].as_py() == key[3].as_py()
+        homes = np.flatnonzero(col["own"] == key[2].as_py())
+        members = homes if within else np.flatnonzero(col["own"] == key[3].as_py())
 
         def tried(i, j):
             open_ = forest.root[at[i]] != forest.root[at[j]]
@@ -222,20 +224,26 @@ def near_links(nodes: DataFrame, similarity: float, wide: int, share: float) ->
             good = (small >= similarity * large - 1e-9) & (np.bitwise_count(bits_of[i] ^ bits_of[j]).sum(1, dtype=np.int32) <= wide)
             forest.join(at[i[good]], at[j[good]])
 
+        every = np.arange(len(own))
         for step in (1, 2, 3, 5, 8, 13):  # neighbours in order first: they connect most of a dense bucket
-            tried(members[:-step], members[step:])
+            tried(every[:-step], every[step:])
         mine, theirs = (col["key"][x].view(np.uint64) for x in (homes, members))
-        for first, many in within_a_bit(mine, theirs, bits):
-            # A bucket of members in one component is skipped by homes of that component.
-            root = forest.root[at[members]]
+        for flip in [0, *(1 << k for k in range(shard, shard + rest))]:
+            wanted = mine ^ np.uint64(flip)
+            first = np.searchsorted(theirs, wanted, "left")
+            many = np.searchsorted(theirs, wanted, "right") - first
+            if within:
+                many[(wanted < mine)] = 0  # each pair of buckets once
             some = np.flatnonzero(many)
             if len(some):
-                low = np.minimum.reduceat(np.append(root, root.max()), np.stack([first, first + many], axis=1)[some].ravel())[::2]
-                high = np.maximum.reduceat(np.append(root, 0), np.stack([first, first + many], axis=1)[some].ravel())[::2]
-                some = some[(low != high) | (low != forest.root[at[homes[some]]])]
+                # A bucket of members in one component is skipped by homes of that component.
+                root = forest.root[at[members]]
+                cuts = np.stack([first[some], first[some] + many[some]], axis=1).ravel()
+                least, most = (f.reduceat(np.append(root, root[-1]), cuts)[::2] for f in (np.minimum, np.maximum))
+                some = some[(least != most) | (least != forest.root[at[homes[some]]])]
             size = many[some]
             cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + PAIRS, PAIRS))
-            for a, b in zip(cuts, cuts[1:]):
+            for a, b in zip(cuts, [*cuts[1:], len(some)]):
                 one, k = some[a:b], size[a:b]
                 if len(one):
                     inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
@@ -243,10 +251,13 @@ def near_links(nodes: DataFrame, similarity: float, wide: int, share: float) ->
         moved = np.flatnonzero(forest.root != np.arange(len(own)))
         return pa.table({"a": own[moved], "b": own[forest.root[moved]]})
 
-    rows = nodes.select("node", *words, "n").mapInArrow(routed, "tree int, leaf long, home boolean, key long, " + NODE.replace("node", "id"))
+    rows = nodes.select("node", *words, "n").mapInArrow(routed, "tree int, leaf long, key long, " + NODE.replace("node", "id"))
     keys = ["tree", "leaf"]
-    dealt = grid(rows, keys, NEAR_BLOCK_ROWS, bucket_sizes(rows, keys)).drop("home")
-    return dealt.groupBy(*keys, "hb", "mb").applyInArrow(linked, "a long, b long")
+    sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), "sizes")
+    blocks = F.ceil(F.col("_n") / NEAR_BLOCK_ROWS).cast("int")
+    dealt = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("id", F.lit(4)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "id", *words, "n")
+    return dealt.groupBy(*keys, "low", "high").applyInArrow(linked, "a long, b long")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
