@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import checkpointed, table, written
 
 #: Documents of a part of a source's order, so that no task needs a whole source.
-PART_ROWS = 100_000
+PART_ROWS = 4_000
 #: Pieces of time in which the sources' weights change.
 PIECES = 8
 #: Times that a source's words may be taken at most.
