@@ -48,20 +48,6 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` with the folder set where the session has none."""
-    shared_dir(df.sparkSession, "unused")
-    return df.checkpoint()
-
-
 @contextmanager
 def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
     """Within, Spark removes a query's shuffle files as it ends instead of when their objects are collected."""
@@ -74,6 +60,22 @@ def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = shared_dir(spark, what)
+    with shuffle_files_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` with the folder set where the session has none; its shuffle files go as it ends."""
+    shared_dir(df.sparkSession, "unused")
+    with shuffle_files_removed(df.sparkSession):
+        return df.checkpoint()
+
+
 def map_arrow(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
     """``rows`` from columns as lists to columns as lists, applied to slices of at most BATCH_ROWS rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
