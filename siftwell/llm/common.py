@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that operators hand on at most; long texts make batches large.
 BATCH_ROWS = 1024
+#: Bits of a bitmap of ``possible`` at most (4 MB), bits for each key as far as that goes, and bits of one of its rows.
+MARK_BITS, MARK_SHARE, MARK_ROW = 1 << 25, 16, 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +106,22 @@ def smallest(df: DataFrame, key: str, n: int) -> DataFrame:
     return (df.where(h < int(share * (1 << 32))) if share < 1 else df).orderBy(h, key).limit(n)
 
 
+def possible(rows: DataFrame, key: list[Column], wanted: DataFrame, wanted_key: list[Column], name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``, false only where no row of ``wanted`` has the key (nulls are equal).
+
+    Wide rows that a join would only drop or pass through then need no shuffle. Hashes of the keys are marked in a bitmap of
+    bounded size that goes out to all tasks; the more keys share it, the more rows are possible in vain, none is lost.
+    """
+    size = min(MARK_BITS, max(MARK_ROW, 1 << (MARK_SHARE * wanted.count()).bit_length()))
+    slot = lambda of: F.pmod(F.xxhash64(*of), F.lit(size))
+    marks = wanted.select((slot(wanted_key) / MARK_ROW).cast("long").alias("__mark_row"), F.pmod(slot(wanted_key), F.lit(MARK_ROW)).alias("__mark_at"))
+    bits = checkpointed(marks.repartition("__mark_row").groupBy("__mark_row").agg(F.bitmap_construct_agg("__mark_at").alias("__mark_bits")))
+    at = rows.withColumn("__mark_slot", slot(key)).withColumn("__mark_row", (F.col("__mark_slot") / MARK_ROW).cast("long")).withColumn("__mark_at", F.pmod("__mark_slot", F.lit(MARK_ROW)))
+    byte = "cast(conv(hex(substring(__mark_bits, cast(__mark_at div 8 as int) + 1, 1)), 16, 10) as int)"
+    found = at.join(F.broadcast(bits), "__mark_row", "left").withColumn(name, F.expr(f"coalesce((shiftright({byte}, cast(__mark_at % 8 as int)) & 1) = 1, false)"))
+    return found.select(*rows.columns, name)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

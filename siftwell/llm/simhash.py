@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import vptree
-from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components, components_marked, grid, map_arrow, smallest, spread, table, written
+from siftwell.llm.common import Forest, bucket_sizes, checkpointed, components, components_marked, grid, map_arrow, possible, smallest, spread, table, written
 
 #: Fingerprints that vantage points are chosen from at most, and leaves of a fitted tree; beyond them leaves go on by
 #: implied points.
@@ -27,8 +27,8 @@ NODE = "node long, fp long, v1 long, v2 long, v3 long, n long"
 #: Candidates of a task's pack, rows and shingles of its blocks, candidates of a component that meet all of its blocks, and
 #: pairs that are compared before joined ones are left out.
 PACK_ROWS, CHECK_ROWS, CHECK_SHINGLES, PIVOTS, CHECK_PAIRS = 512, 1_024, 1 << 21, 32, 256
-#: Pairs of one bucket that are laid out at once.
-PAIRS = 1 << 20
+#: Pairs of one bucket that are laid out at once, and those whose 256 bits are.
+PAIRS, BIT_PAIRS = 1 << 20, 1 << 15
 #: Standard deviations over the expected distance of 256 bits up to which a pair is a candidate.
 SPREAD = 6.0
 
@@ -180,6 +180,15 @@ def key_of(words: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return out
 
 
+def bits_apart(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the rows ``i`` and ``j`` of ``bits`` differ; a bounded number of them is laid out at once."""
+    out = np.empty(len(i), np.int32)
+    for at in range(0, len(i), BIT_PAIRS):
+        k = slice(at, at + BIT_PAIRS)
+        out[k] = np.bitwise_count(bits[i[k]] ^ bits[j[k]]).sum(1, dtype=np.int32)
+    return out
+
+
 def near_links(nodes: DataFrame, similarity: float, wide: int, share: float) -> DataFrame:
     """Candidate edges (a, b) that connect nodes whose 256 bits lie within ``wide`` and whose shingle counts n allow
     ``similarity``, as far as they are partners in some table (see ``key_tables``).
@@ -221,7 +230,7 @@ def near_links(nodes: DataFrame, similarity: float, wide: int, share: float) ->
             open_ = forest.root[at[i]] != forest.root[at[j]]
             i, j = i[open_], j[open_]
             small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
-            good = (small >= similarity * large - 1e-9) & (np.bitwise_count(bits_of[i] ^ bits_of[j]).sum(1, dtype=np.int32) <= wide)
+            good = (small >= similarity * large - 1e-9) & (bits_apart(bits_of, i, j) <= wide)
             forest.join(at[i[good]], at[j[good]])
 
         every = np.arange(len(own))
@@ -279,7 +288,7 @@ def compared(col: dict, sets: list[np.ndarray], homes: np.ndarray, members: np.n
         i, j = np.nonzero((col["root"][own, None] == col["root"][None, members]) & (col["part"][own, None] != col["part"][None, members]))
         i, j = own[i], members[j]
         small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
-        apart = np.bitwise_count(col["bits"][i] ^ col["bits"][j]).sum(1, dtype=np.int32)
+        apart = bits_apart(col["bits"], i, j)
         good = (small >= similarity * large - 1e-9) & (apart <= wide) & ((i < j) | (not once))
         pairs.append(np.stack([apart[good], i[good], j[good]]))
     apart, i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
@@ -318,6 +327,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, wor
     )
     members = checkpointed(members)
     texts = docs.select("doc_id", "text", text_hash().alias("text_hash"))
+    texts = possible(texts, [F.col("doc_id").cast("long"), F.col("text_hash")], members, [F.col("__near_id"), F.col("__near_hash")], "__near_may").where("__near_may")
     named = texts.join(members, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("text_hash") == F.col("__near_hash")))
     named = with_wide_fingerprint(named, words, seed, "node long, root long, pack long, blocks long, own long, pivot long", shingles=True)
     rows = written(named.dropDuplicates(["node"]), "candidates")
@@ -413,13 +423,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     Rows that repeat an id with another text are documents of their own; of rows that repeat both, one stays. Other
     columns pass through, whatever their names. Null and empty texts are one group, texts of any length are taken whole, an
-    empty table gives no rows.
+    empty table gives no rows. Only rows that a bitmap of those to drop names are shuffled with their texts.
     """
     groups = checkpointed(near_duplicate_groups(docs, words, similarity, seed))
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
     told = lambda rows: rows.select(F.col("doc_id").alias("__near_id"), F.col("text_hash").alias("__near_hash"))
-    own = docs.withColumn("__near_text", text_hash())
+    touched = told(groups.where(~first | (F.col("times") > 1)))
+    own = possible(docs.withColumn("__near_text", text_hash()), [F.col("doc_id").cast("long"), F.col("__near_text")], touched, [F.col("__near_id"), F.col("__near_hash")], "__near_may")
     same = F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_text") == F.col("__near_hash"))
-    kept = own.join(told(groups.where(~first | (F.col("times") > 1))), same, "left_anti")
+    alone, own = own.where("NOT __near_may"), own.where("__near_may")
+    kept = alone.unionByName(own.join(touched, same, "left_anti"))
     repeated = own.join(told(groups.where(first & (F.col("times") > 1))), same, "left_semi").dropDuplicates(["doc_id", "__near_text"])
     return kept.unionByName(repeated).select(docs.columns)

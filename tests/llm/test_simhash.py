@@ -1,11 +1,13 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from siftwell.llm import simhash, vptree
-from siftwell.llm.common import Forest, components, table
+from siftwell.llm import common, simhash, vptree
+from siftwell.llm.common import Forest, components, possible, table
 from tests.llm.helpers import documents, empty, prose, rows
 
 
@@ -188,3 +190,45 @@ def test_links_are_decided_by_exact_similarity(spark, monkeypatch, rows_a_block)
     assert 150 < len(want) < 299
     kept = simhash.drop_near_duplicates(documents(spark, data))
     assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def shuffled(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_partners_are_not_shuffled(spark):
+    rng = random.Random(5)
+    base = [" ".join(f"{rng.getrandbits(64):016x}" for _ in range(300)) for _ in range(600)]
+    data = [(k, t, "en", "a", 0) for k, t in enumerate(base)] + [(1000 + k, t + " more", "en", "a", 0) for k, t in enumerate(base[:5])] + [(9, base[9], "en", "a", 0)]
+    path = common.shared_dir(spark, "shuffle-test")
+    documents(spark, data).write.parquet(path)
+    before = shuffled(spark)
+    kept = simhash.drop_near_duplicates(spark.read.parquet(path)).select("doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == list(enumerate(base))
+    assert shuffled(spark) - before < sum(map(len, base)) / 4
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 15, 1 << 6])
+def test_possible_rows_hold_all_that_are_wanted(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "MARK_BITS", bits)
+    monkeypatch.setattr(common, "MARK_ROW", min(bits, 1 << 15))
+    rows = spark.range(20_000).selectExpr("if(id = 7, null, id) AS id", "cast(id % 3 AS string) AS t")
+    wanted = rows.where("id IS NULL OR id % 11 = 0").withColumnsRenamed({"id": "a", "t": "b"})
+    got = possible(rows, [F.col("id"), F.col("t")], wanted, [F.col("a"), F.col("b")], "may").collect()
+    assert len(got) == 20_000 and all(r.may for r in got if r.id is None or r.id % 11 == 0)
+    assert bits < 1 << 25 or sum(r.may for r in got) < 20_000 * (1 / 11 + 1 / 16)
+    none = possible(rows, [F.col("id"), F.col("t")], wanted.limit(0), [F.col("a"), F.col("b")], "may")
+    assert none.where("may").count() == 0 and none.count() == 20_000
+
+
+def test_comparing_a_dense_group_takes_bounded_memory():
+    rng = np.random.default_rng(3)
+    n = 1024
+    col = {"root": np.zeros(n, np.int64), "part": np.arange(n), "at": np.arange(n), "n": np.full(n, 100), "bits": rng.integers(0, 1 << 63, (n, 4), dtype=np.uint64)}
+    every, sets = np.arange(n), [np.zeros(0, "<u8")] * n
+    tracemalloc.start()
+    simhash.compared(col, sets, every, every, True, 0.8, 60)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 90e6, most
