@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import table, union_all, written
 
 #: (verdict, host, path) in order; the longest that fits decides.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Different literal segments from which a position is variable, if a segment has under PER_SEGMENT pages on average.
 VARIABLE, PER_SEGMENT = 8, 20.0
 #: Kinds of segments that are wildcards from the outset.
