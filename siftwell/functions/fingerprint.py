@@ -16,6 +16,8 @@ from pyspark.sql.types import LongType
 
 #: The keys of the unkeyed 64-bit hash.
 KEY0, KEY1 = 0x9E3779B97F4A7C15, 0xF39CBB7EEEA7C457
+#: Rows of keys that a near-join broadcasts at most, about 15 MB.
+BROADCAST = 1 << 17
 FULL = (1 << 64) - 1
 #: Unicode white space; Python's own class holds four separators more.
 BLANK = re.compile(r"[^\S\x1c-\x1f]+")
@@ -204,10 +206,12 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: int = 3, bits: int = 6
     stretches finds every pair; the distance then decides. With radius + 1 parts a fingerprint has radius + 1 short
     keys; with more parts it has more and longer ones, which few others share by chance, so large tables want them:
     by default, from 2 ** 18 fingerprints on the right, radius + 3. Both sides' fingerprints should be distinct, so copies
-    meet once.
+    meet once. The right side's keys are broadcast while they are at most BROADCAST rows; the planner, which takes their
+    size for that of the fingerprints, would send many times what it allows through the driver. More are sorted and merged.
     """
+    known = right.count()
     if parts is None:
-        parts = radius + 1 if right.count() < 1 << 18 else radius + 3
+        parts = radius + 1 if known < 1 << 18 else radius + 3
     width = -(-bits // parts)
     mask = (1 << width) - 1
     chosen = [sum(mask << k * width for k in pick) & FULL for pick in combinations(range(parts), parts - radius)]
@@ -215,6 +219,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: int = 3, bits: int = 6
     keys = lambda c: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c.bitwiseAND(m).alias("v")) for k, m in enumerate(masks))))
     a = left.select("l", keys(F.col("l")).alias("key")).select("l", "key.k", "key.v")
     b = right.select("r", keys(F.col("r")).alias("key")).select("r", F.col("key.k").alias("k2"), F.col("key.v").alias("v2"))
+    b = F.broadcast(b) if known * len(masks) <= BROADCAST else b.hint("merge")
     met = a.join(b, (F.col("k") == F.col("k2")) & (F.col("v") == F.col("v2")))
     # A pair counts in the first of its equal keys only, which spares a distinct.
     first = F.array_position(F.array(*(F.col("l").bitwiseXOR(F.col("r")).bitwiseAND(m) == 0 for m in masks)), F.lit(True)) == F.col("k") + 1

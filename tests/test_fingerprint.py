@@ -86,3 +86,22 @@ def test_near_pairs_by_any_number_of_parts(spark, parts):
     df = spark.createDataFrame([(x,) for x in own], "l long")
     got = sorted((r.l, r.r) for r in fp.near_pairs(df, df.withColumnRenamed("l", "r"), bits=60, parts=parts).collect())
     assert got == sorted((a, b) for a in own for b in own if (a ^ b).bit_count() <= 3)
+
+
+def test_only_few_keys_are_broadcast(spark, monkeypatch):
+    own = [fp.signed(random.Random(k).getrandbits(64) ^ bit) for k in range(200) for bit in (0, 5)]
+    df = spark.createDataFrame([(x,) for x in own], "l long")
+    pairs = lambda: fp.near_pairs(df, df.withColumnRenamed("l", "r"))
+    plan = lambda d: d._jdf.queryExecution().sparkPlan().toString()
+    few = pairs()
+    monkeypatch.setattr(fp, "BROADCAST", 4 * len(own) - 1)
+    many = pairs()
+    assert "Broadcast" in plan(few) and "Broadcast" not in plan(many) and "SortMergeJoin" in plan(many)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() >= 2 * len(own)
+
+
+def test_keys_of_a_small_table_are_merged_not_broadcast_when_many(spark, tmp_path):
+    # By its file's size, under a megabyte, the planner takes the table for one to broadcast; its keys are twenty times as many.
+    spark.range(0, 40000, 1, 1).selectExpr("xxhash64(id) AS l").write.parquet(str(tmp_path / "own"))
+    df = spark.read.parquet(str(tmp_path / "own"))
+    assert "Broadcast" not in fp.near_pairs(df, df.withColumnRenamed("l", "r"), parts=6)._jdf.queryExecution().sparkPlan().toString()
