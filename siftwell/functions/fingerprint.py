@@ -6,14 +6,23 @@ import hashlib
 import ipaddress
 import re
 import struct
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from siftwell.functions.text import in_slices
+
+try:
+    from _md5 import md5  # the plain one starts faster on short strings
+except ImportError:
+    from hashlib import md5
+
 #: The keys of the unkeyed 64-bit hash.
 KEY0, KEY1 = 0x9E3779B97F4A7C15, 0xF39CBB7EEEA7C457
 #: Rows of keys that a near-join broadcasts at most, about 15 MB.
@@ -21,6 +30,10 @@ BROADCAST = 1 << 17
 FULL = (1 << 64) - 1
 #: Unicode white space; Python's own class holds four separators more.
 BLANK = re.compile(r"[^\S\x1c-\x1f]+")
+#: Words that are hashed together, and characters of a text that are split together.
+WORDS, PIECE = 1 << 15, 1 << 17
+#: A byte's bits as the eight bytes of a word.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
 def siphash13(data: bytes, k0: int = KEY0, k1: int = KEY1) -> int:
@@ -93,33 +106,89 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def simhash(text: str | None, kind: str) -> int:
-    """Bits set in over half of the hashes of a text's lower-case words and adjacent word pairs; 0 if it has none.
+def words_of(text: str) -> list[str]:
+    """Lower-case runs between Unicode white space; ``str.split`` parts at four separators more."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in BLANK.split(text.lower()) if w]
+    return text.lower().split()
 
-    ``sip`` takes the keyed hash, ``md5`` the first 60 bits of MD5, which SQL engines share.
-    """
-    words = [w.lower() for w in BLANK.split(text or "") if w]
-    parts = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-    if not parts:
-        return 0
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters that end between words."""
+    at = 0
+    while len(text) - at > PIECE and (cut := BLANK.search(text, at + PIECE)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
+def part_hashes(parts: list[str], kind: str) -> np.ndarray:
     if kind == "sip":
-        h = siphash13_many([p.encode() + b"\xff" for p in parts])  # strings are ended by the byte FF
-    else:
-        h = np.frombuffer(b"".join(hashlib.md5(p.encode()).digest()[:8] for p in parts), ">u8").astype("<u8") >> np.uint64(4)
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):
-        count += np.unpackbits(h[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(h), bitorder="little").view("<i8")[0])
+        return siphash13_many([p.encode() + b"\xff" for p in parts])  # strings are ended by the byte FF
+    return np.frombuffer(b"".join([md5(p.encode()).digest()[:8] for p in parts]), ">u8").astype("<u8") >> np.uint64(4)
 
 
-@F.pandas_udf(LongType())
-def simhash_md5(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: simhash(t, "md5"))
+def tally(count: np.ndarray, h: np.ndarray, owner: np.ndarray) -> None:
+    """Adds the bits of each hash to its owner's row of ``count``; ``owner`` ascends."""
+    if not len(h):
+        return
+    new = np.diff(owner, prepend=-1) != 0
+    first = np.flatnonzero(new)
+    # Eight counters of a byte in one word hold up to 255 hashes.
+    starts = np.flatnonzero((np.arange(len(h)) - first[np.cumsum(new) - 1]) % 255 == 0)
+    sums = np.add.reduceat(LANES[h.astype("<u8").view(np.uint8).reshape(-1, 8)], starts, axis=0)
+    np.add.at(count, owner[starts], sums.astype("<u8").view(np.uint8).reshape(-1, 64))
 
 
-@F.pandas_udf(LongType())
-def simhash_sip(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: simhash(t, "sip"))
+def simhashes(texts: list[str | None], kind: str) -> np.ndarray:
+    """Of each text the bits set in over half of the hashes of its lower-case words and adjacent word pairs; 0 if it has none.
+
+    ``sip`` takes the keyed hash, ``md5`` the first 60 bits of MD5, which SQL engines share. About WORDS words are
+    hashed together, each different word and pair once; a long text goes through in pieces.
+    """
+    count, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    words: list[str] = []
+    runs: list[tuple[int, int]] = []  # text, number of words
+    carried = 0  # 1 if the first word ended the part of its text that was counted before
+
+    def flush() -> None:
+        known = list(dict.fromkeys(words))
+        place = {w: k for k, w in enumerate(known)}
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        owner = np.repeat([r[0] for r in runs], [r[1] for r in runs])
+        left = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs, which = np.unique(at[left] * len(known) + at[left + 1], return_inverse=True)
+        h = part_hashes(known + [f"{known[a]} {known[b]}" for a, b in zip(*(x.tolist() for x in np.divmod(pairs, len(known))))], kind)
+        for own, of in ((h[at[carried:]], owner[carried:]), (h[len(known) + which], owner[left])):
+            tally(count, own, of)
+            total[:] += np.bincount(of, minlength=len(texts))
+
+    for k, text in enumerate(texts):
+        for piece in pieces(text or ""):
+            own = words_of(piece)
+            words += own
+            runs.append((k, len(own)))
+            if len(words) >= WORDS:
+                flush()
+                words, runs, carried = words[-1:], [(k, 1)], 1
+    if len(words) > carried:
+        flush()
+    return np.packbits(2 * count > total[:, None], axis=1, bitorder="little").view("<i8")[:, 0].astype(np.int64)
+
+
+def simhash(text: str | None, kind: str) -> int:
+    """``simhashes`` of one text."""
+    return int(simhashes([text], kind)[0])
+
+
+@F.arrow_udf(LongType())
+def simhash_md5(texts: pa.Array) -> pa.Array:
+    return in_slices(texts, lambda some: simhashes(some, "md5"))
+
+
+@F.arrow_udf(LongType())
+def simhash_sip(texts: pa.Array) -> pa.Array:
+    return in_slices(texts, lambda some: simhashes(some, "sip"))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -1,6 +1,7 @@
 import ipaddress
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,35 @@ def test_keys_of_a_small_table_are_merged_not_broadcast_when_many(spark, tmp_pat
     spark.range(0, 40000, 1, 1).selectExpr("xxhash64(id) AS l").write.parquet(str(tmp_path / "own"))
     df = spark.read.parquet(str(tmp_path / "own"))
     assert "Broadcast" not in fp.near_pairs(df, df.withColumnRenamed("l", "r"), parts=6)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_texts_of_a_batch_and_in_pieces_equal_single_ones(monkeypatch):
+    rng = random.Random(7)
+    texts = [None, "", " \x1c ", "a\x1cb c", "\u039f\u0394\u039f\u03a3 \u039f\u0394\u039f\u03a3. \u0130x", *(" ".join(rng.choice("abcde") * rng.randint(1, 3) for _ in range(rng.randrange(700))) for _ in range(40))]
+
+    def plain(text, kind):
+        words = [w.lower() for w in fp.BLANK.split(text or "") if w]
+        parts = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        h = [int(x) for x in fp.part_hashes(parts, kind)] if parts else []
+        return fp.signed(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+
+    for kind in ("md5", "sip"):
+        want = [plain(t, kind) for t in texts]
+        for words, piece in ((1 << 15, 1 << 17), (50, 1 << 17), (50, 64), (1, 1)):
+            monkeypatch.setattr(fp, "WORDS", words)
+            monkeypatch.setattr(fp, "PIECE", piece)
+            assert fp.simhashes(texts, kind).tolist() == want
+    assert fp.simhashes([], "sip").tolist() == []
+
+
+def test_each_different_part_of_a_batch_is_hashed_once(monkeypatch):
+    asked, whole = [], fp.part_hashes
+    monkeypatch.setattr(fp, "part_hashes", lambda parts, kind: asked.extend(parts) or whole(parts, kind))
+    fp.simhashes(["a b a b", "B A", "a"] * 50, "sip")
+    assert sorted(asked) == ["a", "a b", "b", "b a"]
+
+
+def test_few_texts_of_a_batch_are_strings_at_a_time():
+    seen = []
+    fp.in_slices(pa.array(["text"] * 10_000), lambda some: seen.append(len(some)) or fp.simhashes(some, "md5"))
+    assert sum(seen) == 10_000 and max(seen) <= 256
