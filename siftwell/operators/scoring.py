@@ -97,7 +97,8 @@ def fingerprint_scores(fps: DataFrame, store: DataFrame, exact_first: bool = Tru
 
     Works on distinct fingerprints, each computed once; only those without an exact hit meet the near-join then.
     """
-    own = staged(fps.where("fp IS NOT NULL").select("fp").distinct(), "fingerprints")
+    # Nulls go after the write: a filter before it would be pushed down and compute every fingerprint twice.
+    own = staged(fps.select("fp").distinct(), "fingerprints").where("fp IS NOT NULL")
     known = staged(store.groupBy("fp").agg(F.max("score").alias("fp_score")), "known")
     near = lambda rows: (
         fp.near_pairs(rows.withColumnRenamed("fp", "l"), known.select(F.col("fp").alias("r")), radius)

@@ -134,3 +134,25 @@ def test_stores_are_seeded_and_updated(spark, tmp_path):
     assert {tuple(r) for r in open_stores(spark, folder).ips.collect()} == {("203.0.113", 0.4), ("203.0.114", 0.6)}
     upserted(spark, folder, "network", spark.createDataFrame([(7, 0.5)], "fp long, score double"))
     assert open_stores(spark, folder, secret=SECRET).network.count() == 1
+
+
+def counted(monkeypatch, path):
+    """Puts a fingerprint in place that leaves a byte at ``path`` for each text it gets."""
+    own = str(path)
+
+    def prints(text):
+        from siftwell.functions.fingerprint import simhash
+
+        with open(own, "a") as f:
+            f.write("x")
+        return simhash(text, "md5")
+
+    monkeypatch.setattr(fp, "simhash_md5", F.udf(prints, "long"))
+
+
+def test_lookups_compute_a_fingerprint_once(spark, monkeypatch, tmp_path):
+    counted(monkeypatch, tmp_path / "texts")
+    df = spark.createDataFrame([(f"text {k}",) for k in range(30)] + [(None,)], "text string")
+    known = spark.createDataFrame([(fp.simhash("text 1", "md5"), 0.9)], "fp long, score double")
+    got = scoring.fingerprint_scores(df.select(fp.simhash_md5("text").alias("fp")), known, exact_first=False).collect()
+    assert (tmp_path / "texts").stat().st_size == 31 and known.first().fp in {r.fp for r in got}
