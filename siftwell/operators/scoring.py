@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import fingerprint as fp
-from siftwell.functions.text import email_domain, with_features
+from siftwell.functions.text import FEATURES, email_domain, with_features
 from siftwell.operators.config import DEFAULT, Config
 from siftwell.sources.sinks import staged
 
@@ -171,15 +171,22 @@ def residual(params: dict | None) -> Column | None:
     return total
 
 
-def assess(content: DataFrame, stores: Stores | None = None, cfg: Config = DEFAULT, params: dict | None = None) -> DataFrame:
+def assess(content: DataFrame, stores: Stores | None = None, cfg: Config = DEFAULT, params: dict | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """``content`` with spam, slop (0 to 1) and reasons, the codes in order of rules, reputation, final slop.
 
     Without stores no signal comes from reputation. ``params`` puts a trained residual in place of the baseline
     spam log-odds; slop stays with the baseline. Null text counts as empty, so every row gets an assessment.
+
+    ``keep`` names the columns of ``content`` that go on. With it and stores the features and keys of every row are
+    written once, without the texts, and both the lookups and the scores read them; else both compute them.
     """
     df = prepared(content, stores.kind if stores is not None else None)
+    if keep is not None:
+        df = df.select(*dict.fromkeys((*keep, *FEATURES, "email_domain", "ip_key", "fp")))
     signals: dict = dict(rules(cfg))
     if stores is not None:
+        if keep is not None:
+            df = staged(df, "prepared")
         df = with_reputation(df, stores)
         signals |= reputation(cfg)
     spam = F.lit(cfg.base_spam)

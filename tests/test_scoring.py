@@ -156,3 +156,18 @@ def test_lookups_compute_a_fingerprint_once(spark, monkeypatch, tmp_path):
     known = spark.createDataFrame([(fp.simhash("text 1", "md5"), 0.9)], "fp long, score double")
     got = scoring.fingerprint_scores(df.select(fp.simhash_md5("text").alias("fp")), known, exact_first=False).collect()
     assert (tmp_path / "texts").stat().st_size == 31 and known.first().fp in {r.fp for r in got}
+
+
+def test_kept_columns_go_on_and_texts_are_read_once(spark, monkeypatch, tmp_path):
+    rows = [(k, f"buy http://a.b {k % 4} now", f"u@x{k % 3}.example", "203.0.1.7" if k % 2 else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, email string, ip string")
+    stores = scoring.Stores(
+        disposable=spark.createDataFrame([("x1.example",)], "domain string"), ips=spark.createDataFrame([("203.0.1", 0.9)], "key string, score double"),
+        domains=spark.createDataFrame([("x2.example", 0.8)], "domain string, score double"), fingerprints=spark.createDataFrame([(fp.simhash(rows[1][1], "md5"), 0.9)], "fp long, score double"),
+    )
+    out = lambda d: sorted((r.id, r.spam, r.slop, tuple(r.reasons)) for r in d.select("id", "spam", "slop", "reasons").collect())
+    want = out(scoring.assess(df, stores))
+    counted(monkeypatch, tmp_path / "texts")
+    kept = scoring.assess(df, stores, keep=("id",))
+    assert out(kept) == want and (tmp_path / "texts").stat().st_size == 40 and "text" not in kept.columns
+    assert out(scoring.assess(df, keep=("id",))) == out(scoring.assess(df))
