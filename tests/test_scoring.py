@@ -1,3 +1,6 @@
+import math
+
+import pyarrow as pa
 import pytest
 
 from siftwell.functions import fingerprint as fp
@@ -171,3 +174,17 @@ def test_kept_columns_go_on_and_texts_are_read_once(spark, monkeypatch, tmp_path
     kept = scoring.assess(df, stores, keep=("id",))
     assert out(kept) == want and (tmp_path / "texts").stat().st_size == 40 and "text" not in kept.columns
     assert out(scoring.assess(df, keep=("id",))) == out(scoring.assess(df))
+
+
+def test_entropy_counts_long_texts_in_pieces():
+    for text in (None, "", " \u3000", "a" * 300_000 + "b" * 300_000, "\U0001f600x " * 200_000, "é" * 5 + "a" * 270_000):
+        own = "".join((text or "").split())
+        share = [own.count(c) / len(own) for c in set(own)]
+        assert tx.entropy(text) == pytest.approx(-sum(p * math.log2(p) for p in share), abs=1e-9)
+
+
+def test_entropy_takes_slices_of_a_batch(monkeypatch):
+    rows, whole = [], tx.in_slices
+    monkeypatch.setattr(tx, "in_slices", lambda texts, of: whole(texts, lambda some: rows.append(len(some)) or of(some)))
+    got = tx.char_entropy.func(pa.array(["ab", None] * 1000))
+    assert got.to_pylist() == [1.0, 0.0] * 1000 and sum(rows) == 2000 and max(rows) <= 256
